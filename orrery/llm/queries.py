@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.llm import packing, shards, token_store
 from orrery.llm.common import table
 from orrery.llm.decontam import contamination
 from orrery.llm.quality import quality_scores
@@ -17,6 +18,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination)}
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read(spark, token_store.write(table(spark, sf_dir, "documents")))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_sharding, op8_token_store, op10_packing)}
 
 ORACLES: dict[str, str] = {}
