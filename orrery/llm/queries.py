@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import packing, shards, token_store
+from orrery.llm import neardup, packing, shards, token_store
 from orrery.llm.common import table
 from orrery.llm.decontam import contamination
 from orrery.llm.quality import quality_scores
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_sharding, op8_token_store, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op4_minmax_neardup, op5_sharding, op8_token_store, op10_packing)}
 
 ORACLES: dict[str, str] = {}
