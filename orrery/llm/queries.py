@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import neardup, packing, shards, token_store
+from orrery.llm import html_text, license_scan, neardup, packing, shards, token_store
 from orrery.llm.common import table
 from orrery.llm.decontam import contamination
 from orrery.llm.quality import quality_scores
@@ -26,14 +26,28 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, token_store.write(table(spark, sf_dir, "documents")))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op4_minmax_neardup, op5_sharding, op8_token_store, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_decontamination, op4_minmax_neardup, op5_sharding, op7_license_scan,
+        op8_token_store, op9_html_extraction, op10_packing,
+    )
+}
 
 ORACLES: dict[str, str] = {}
