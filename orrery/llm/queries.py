@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import html_text, license_scan, neardup, packing, shards, token_store
+from orrery.llm import html_text, license_scan, neardup, packing, pii, quotes, shards, token_store
 from orrery.llm.common import table
 from orrery.llm.decontam import contamination
 from orrery.llm.quality import quality_scores
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op4_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -26,6 +30,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -45,8 +53,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_decontamination, op4_minmax_neardup, op5_sharding, op7_license_scan,
-        op8_token_store, op9_html_extraction, op10_packing,
+        op1_quality_rules, op2_decontamination, op3_quotation_linking, op4_minmax_neardup, op5_sharding,
+        op6_personal_data, op7_license_scan, op8_token_store, op9_html_extraction, op10_packing,
     )
 }
 
