@@ -52,7 +52,7 @@ NOTICES = {
     "proprietary and confidential": "proprietary",
 }
 #: Edits allowed for each letter of a notice, and the shortest piece that may be a seed.
-EDIT_SHARE, LEAST_PIECE = 1 / 8, 5
+EDIT_SHARE, LEAST_PIECE = 1 / 14, 9
 
 
 def _pieces(notice: str, edits: int) -> list[str]:
@@ -114,7 +114,10 @@ class Scanner:
                     errors = sum(m.fuzzy_counts)
                     first = flat.count(" ", 0, s)
                     spans.append((first, first + flat.count(" ", s, e) + 1, label, errors, 1 - errors / len(notice)))
-        return {"n_words": len(words), "base": sorted(base), "spans": sorted(set(spans))}
+        # Of spans that overlap, one with edits gives way to one with fewer.
+        spans = sorted(set(spans))
+        spans = [s for s in spans if not s[3] or not any(o[3] < s[3] and o[0] < s[1] and s[0] < o[1] for o in spans)]
+        return {"n_words": len(words), "base": sorted(base), "spans": spans}
 
 
 _SCHEMA = (
