@@ -201,10 +201,10 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each class: that of the smallest id; of rows with that same id and text, one."""
-    kept = classes(docs, width, percent).where("kept").select("doc_id").distinct()
-    some = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return some.dropDuplicates(["doc_id", "text"])
+    """docs with one document of each class: that of the smallest id, and of rows with that same id and text, one."""
+    kept = cut(classes(docs, width, percent).where("kept").groupBy("doc_id").count(), "kept")
+    some = docs.join(kept.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return some if kept.where("count > 1").isEmpty() else some.dropDuplicates(["doc_id", "text"])
 
 
 def brute(docs: list[tuple[int, str | None]], width: int = 2, percent: int = 80) -> dict[int, tuple[int, int]]:

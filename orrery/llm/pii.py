@@ -161,6 +161,14 @@ def _text_of(spans: str | Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _hits(found: DataFrame, promoted: DataFrame) -> DataFrame:
+    """key and more: the contextual spans of each text that has any."""
+    tokens = found.select("key", F.explode("tokens").alias("x")).select("key", "x.start", "x.end", "x.left", "x.form")
+    span = F.struct("start", F.lit(4).alias("ord"), "end", F.lit("context").alias("kind"), "form")
+    hits = tokens.join(promoted, "left", "left_semi").distinct()
+    return hits.groupBy("key").agg(F.array_sort(F.collect_list(span)).cast(_SPAN).alias("more"))  # of one text
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """key, doc_id, spans (fixed forms) and more (contextual) of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -169,10 +177,7 @@ def found_spans(docs: DataFrame) -> DataFrame:
     none = F.array().cast(_SPAN)
     if promoted is None:
         return found.select("key", "doc_id", "spans", none.alias("more"))
-    tokens = found.select("key", F.explode("tokens").alias("x")).select("key", "x.start", "x.end", "x.left", "x.form")
-    hits = tokens.join(promoted, "left", "left_semi").distinct()
-    span = F.struct("start", F.lit(4).alias("ord"), "end", F.lit("context").alias("kind"), "form")
-    hits = hits.groupBy("key").agg(F.array_sort(F.collect_list(span)).cast(_SPAN).alias("more"))  # of one text
+    hits = _hits(found, promoted)
     return found.join(hits, "key", "left").select("key", "doc_id", "spans", F.coalesce("more", none).alias("more"))
 
 
@@ -185,16 +190,23 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each found span of the text replaced by its kind in brackets, as [EMAIL]; spans that overlap become one."""
-    found = found_spans(docs).select("key", F.concat("spans", "more").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["key"])
+    plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = cut(contexts(with_spans(plain)).drop("spans"), "contexts")
+    promoted = learn(plain, found)
+    kept = docs.columns
+    rows = docs.withColumnRenamed("spans", "_own_spans") if "spans" in kept else docs
+    rows = with_spans(rows).withColumnRenamed("spans", "_spans")
+    if promoted is not None:
+        rows = rows.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+        rows = rows.join(_hits(found, promoted).withColumnRenamed("key", "_key"), "_key", "left")
+        rows = rows.withColumn("_spans", F.when(F.size("more") > 0, F.concat("_spans", "more")).otherwise(F.col("_spans"))).drop("more")
     # Merged: overlapping spans become one with the first's kind. Then the text is put together from what lies between.
     merged = (
         "aggregate(array_sort(_spans), cast(array() as array<struct<s:int,e:int,k:string>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).e > x.start "
         "then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end), 'k', element_at(a, -1).k))) "
         "else concat(a, array(named_struct('s', x.start, 'e', x.end, 'k', upper(x.kind)))) end)"
     )
-    kept = docs.columns
-    keyed = docs.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(found, F.col("_key") == F.col("key"), "left")
-    keyed = keyed.withColumn("_m", F.expr(f"case when _spans is not null then {merged} end"))
+    rows = rows.withColumn("_m", F.expr(f"case when size(_spans) > 0 then {merged} end"))
     parts = "transform(_m, (x, i) -> concat(substr(text, if(i = 0, 0, _m[i - 1].e) + 1, x.s - if(i = 0, 0, _m[i - 1].e)), '[', x.k, ']'))"
     text = F.expr(f"case when _m is null then text else concat(concat_ws('', {parts}), substr(text, element_at(_m, -1).e + 1)) end")
-    return keyed.select(*(text.alias("text") if c == "text" else F.col(c) for c in kept))
+    return rows.select(*(text.alias("text") if c == "text" else F.col("_own_spans").alias("spans") if c == "spans" else F.col(c) for c in kept))

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.llm.common import arrow_map, cut
 
@@ -108,9 +109,10 @@ def _vote(reject: Column, keep: Column) -> Column:
     return F.when(reject, 0).when(keep, 1).otherwise(-1)
 
 
-def rules() -> dict[str, Column]:
-    """Name and vote of each rule, on the columns of FEATURES."""
-    n, c = F.col("n_words"), F.col
+def rules(within: str = "") -> dict[str, Column]:
+    """Name and vote of each rule, on the columns of FEATURES (fields of the column within)."""
+    c = lambda name: F.col(within + name)
+    n = c("n_words")
     letters = c("n_upper") + c("n_lower")
     some = n >= 10
     return {
@@ -159,22 +161,54 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
     return share, rejects
 
 
-def quality_scores(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the base counts, the votes, posterior and kept of every row of docs (doc_id, text)."""
-    named = rules()
-    feats = arrow_map(docs.select("doc_id", "text"), _batch, FEATURES)
-    voted = cut(feats.select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in named.items())), "votes")
-    cols = [f"vote_{k}" for k in named]
+def learn(voted: DataFrame) -> tuple[float, np.ndarray]:
+    """fit() on the votes of a table with n_words and the vote_ columns."""
+    cols = [f"vote_{k}" for k in rules()]
     # At most 3 ** rules rows, whatever the corpus; one counted row for each pattern of votes.
     counts = voted.where("n_words > 0").groupBy(*cols).count().orderBy(*cols).collect()
-    share, rejects = fit([(tuple(r[c] for c in cols), r["count"]) for r in counts], len(cols))
+    return fit([(tuple(r[c] for c in cols), r["count"]) for r in counts], len(cols))
+
+
+def _posterior(votes: list[Column], share: float, rejects: np.ndarray) -> Column:
     log = F.lit(math.log(share / (1 - share)))
-    for c, bad, good in zip(cols, *rejects):
-        log = log + F.when(F.col(c) == 0, math.log(good / bad)).when(F.col(c) == 1, math.log((1 - good) / (1 - bad))).otherwise(0.0)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    posterior = 1 / (1 + F.exp(-log))
+    for vote, bad, good in zip(votes, *rejects):
+        log = log + F.when(vote == 0, math.log(good / bad)).when(vote == 1, math.log((1 - good) / (1 - bad))).otherwise(0.0)
+    return 1 / (1 + F.exp(-log))
+
+
+def _failed(within: str = "") -> Column:
+    """Rejected outright: hardly any words, or mostly repeated ones."""
+    n = F.col(within + "n_words")
+    return (n < 10) | (100 * F.col(within + "n_repeat_words") > 20 * n)
+
+
+def _voted(docs: DataFrame) -> DataFrame:
+    feats = arrow_map(docs.select("doc_id", "text"), _batch, FEATURES)
+    return cut(feats.select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in rules().items())), "votes")
+
+
+def quality_scores(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the base counts, the votes, posterior and kept of every row of docs (doc_id, text)."""
+    voted = _voted(docs)
+    cols = [f"vote_{k}" for k in rules()]
+    posterior = _posterior([F.col(c) for c in cols], *learn(voted))
     return voted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), posterior.alias("posterior"), *cols,
-        (~failed & (posterior >= threshold)).alias("kept"),
+        _failed().alias("base_failed"), posterior.alias("posterior"), *cols,
+        (~_failed() & (posterior >= threshold)).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that quality_scores() keeps, with all their columns. Rows are judged where they
+    stand, in a second pass: texts are neither shuffled nor matched by id."""
+    posterior = _posterior(list(rules("_quality.").values()), *learn(_voted(docs)))
+    names = [x.split()[0] for x in FEATURES.split(", ")]
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = _batch(b)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays([found.column(n) for n in names], names)], [*b.schema.names, "_quality"])
+
+    fields = ", ".join(f"{x.split()[0]}: {x.split()[1]}" for x in FEATURES.split(", "))
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"_quality struct<{fields}>").fields])
+    return arrow_map(docs, run, schema).where(~_failed("_quality.") & (posterior >= threshold)).drop("_quality")
