@@ -1,13 +1,13 @@
 """Near duplicates by min-max hashing.
 
 Each permutation of a document's shingles gives two values, its minimum and its maximum, so half as
-many hash evaluations fill a signature. Bands of ROWS values make buckets. No bucket emits all its
-pairs: each round its members are compared with a few hubs, those that meet the most others over all
-their buckets, and pairs are confirmed on the full shingle sets. Confirmed links are contracted to
-components. A bucket in which members that weren't hubs still lie in several components goes into
-the next round, with four times the hubs, the smaller components' first: so no pair that could join
-two components is left out, and groups of copies end after the first round.
-Sets equal to another's are one class from the start, so copies cost nothing further.
+many hash evaluations fill a signature. Bands of ROWS values make buckets. No bucket emits its pairs.
+Its members are first compared with one hub, the member that meets the most others over all its
+buckets, and pairs are confirmed on the full shingle sets; confirmed links make components. Where members of a bucket
+still lie in several components, those outside its largest one are compared with all members of the
+buckets alike, in cells of a bounded number of shingles, which emit confirmed links alone. So every
+pair that shares a bucket and could join two components is compared, and nothing is capped. Sets equal
+to another's are one class from the start, so copies cost nothing further.
 
 With 24 bands of 4 values a pair at similarity 0.8 shares no bucket with probability 3e-6, and less
 above it.
@@ -23,14 +23,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_map, cut
+from orrery.llm.common import arrow_map, cut, small_batches
 
 BANDS, ROWS = 24, 4
-HUBS = 6
-SALTS = 16
+#: Shingles of the members, and of the outliers, that are compared in one place.
+CELL = 400_000
+#: Ids of 8 bytes that are sent to all tasks at most.
+BROADCAST_IDS = 1_000_000
 #: Words that a worker remembers the hash of.
 CACHE = 1_000_000
 
@@ -95,11 +97,16 @@ def _signer(width: int):
     return run
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+    """rep and shingles of the documents in needed (rep); docs has rep and text. The ids are sent to the
+    texts while they are few enough, so that texts aren't shuffled."""
+
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("rep"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["rep", "shingles"])
 
-    return arrow_map(docs, run, "rep long, shingles binary")
+    needed = cut(needed.select("rep").distinct(), "needed")
+    near = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    return cut(arrow_map(docs.join(near, "rep", "left_semi"), run, "rep long, shingles binary").dropDuplicates(["rep", "shingles"]), "sets")
 
 
 def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
@@ -140,6 +147,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots).distinct()
 
 
+def _across(cells: DataFrame, percent: int) -> DataFrame:
+    """Links between the outliers and the members of each cell, of different roots; cells stand together and sorted."""
+
+    def compare(members: list[tuple], outliers: list[tuple]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(x[3], np.uint64) for x in members]
+        sizes, every = np.array([len(x) for x in sets]), np.concatenate(sets)
+        names, at = np.unique(every, return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        roots, out = np.array([x[1] for x in members]), []
+        for rep, root, _, raw in outliers:
+            own = np.frombuffer(raw, np.uint64)
+            flag = np.zeros(len(names), np.int64)
+            where = np.searchsorted(names, own)
+            where[where == len(names)] = 0
+            flag[where[names[where] == own]] = 1
+            same = np.add.reduceat(flag[at], starts)
+            hit = (100 * same >= percent * (sizes + len(own) - same)) & (roots != root)
+            out.extend((rep, members[k][0]) for k in np.flatnonzero(hit).tolist())
+        return out
+
+    def run(batches):
+        cell, members, outliers, found = None, [], [], []
+        for b in batches:
+            for r in zip(*(b.column(n).to_pylist() for n in ("group", "b", "c", "rep", "root", "outlier", "shingles"))):
+                if r[:3] != cell:
+                    if members and outliers:
+                        found += compare(members, outliers)
+                    cell, members, outliers = r[:3], [], []
+                (outliers if r[5] else members).append(r[3:])
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            found = []
+        if members and outliers:
+            found = compare(members, outliers)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    small_batches(cells.sparkSession)
+    return cells.mapInArrow(run, "a long, b long")
+
+
 def links(signed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """node and component of the classes of equal sets that are linked with others.
 
@@ -149,38 +195,38 @@ def links(signed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataF
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = cut(rows.join(sizes, "key"), "buckets")
     meets = rows.groupBy("rep").agg(F.sum("size").alias("meets"))
-    # fresh: the members of buckets that haven't been compared with all others of their bucket.
-    fresh = cut(rows.join(meets, "rep").select("key", "rep", "n_shingles", "meets", F.col("rep").alias("root")), "fresh")
-    edges, roots, most = None, None, HUBS
-    while True:
-        # Hubs: those of the smaller components first, then those that meet most others in their buckets.
-        # Ranked within salts first, so that no task sorts a whole hot bucket.
-        inside = fresh.groupBy("key", "root").agg(F.count("*").alias("inside")) if edges is not None else None
-        live = fresh.join(inside, ["key", "root"]) if inside is not None else fresh.withColumn("inside", F.lit(1))
-        order = [F.asc("inside"), F.desc("meets"), F.asc("rep")]
-        salted = live.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)))
-        hubs = salted.withColumn("k", F.row_number().over(Window.partitionBy("key", "salt").orderBy(*order))).where(F.col("k") <= most)
-        hubs = hubs.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("k") <= most)
-        hubs = cut(hubs.select("key", F.col("rep").alias("hub"), F.col("root").alias("hub_root"), F.col("n_shingles").alias("hub_n")), "hubs")
-        if hubs.isEmpty():
-            break
-        pairs = fresh.join(hubs, "key").where("rep <> hub and root <> hub_root")
-        pairs = pairs.where(100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n"))
-        pairs = cut(pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "pairs")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        sets = cut(_sets(docs.join(needed, "rep", "left_semi"), width).distinct(), "sets")
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-        both = both.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-        new = cut(_confirm(both.select("a", "b", "set_a", "set_b"), percent), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        roots = components(edges)
-        # What is left: members that were no hubs, in buckets where such members lie in several components.
-        fresh = fresh.join(hubs.select("key", F.col("hub").alias("rep")), ["key", "rep"], "left_anti").drop("root")
-        fresh = fresh.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("component", "rep")).drop("component")
-        split = fresh.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        fresh = cut(fresh.join(split, "key", "left_semi"), "fresh")
-        most *= 4
-    return roots if roots is not None else signed.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0)
+    hubs = rows.join(meets, "rep").groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("r"), "n_shingles")).alias("x"))
+    hubs = hubs.select("key", (-F.col("x.r")).alias("hub"), F.col("x.n_shingles").alias("hub_n"))
+    rows = cut(rows.join(hubs, "key").where("rep <> hub").select("key", "rep", "n_shingles", "hub", "hub_n"), "members")
+
+    pairs = rows.where(100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n"))
+    pairs = cut(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), width)
+    both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
+    both = both.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
+    edges = cut(_confirm(both.select("a", "b", "set_a", "set_b"), percent), "links")
+    roots = components(edges)
+
+    # Buckets in which members other than the hub still lie in several components. A pair of two components has
+    # a member outside the bucket's largest, so comparing those outliers with all is enough.
+    rows = rows.select("key", "rep", "n_shingles").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = rows.select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("root"))
+    inside = rows.groupBy("key", "root").agg(F.count("*").alias("inside"))
+    open_ = inside.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("inside", "root"))["root"].alias("group")).where("roots > 1")
+    members = rows.join(open_, "key").select("group", "rep", "root", "n_shingles", (F.col("root") != F.col("group")).alias("outlier")).distinct()
+    members = cut(members, "open")
+    if members.isEmpty():
+        return roots
+    cells = members.groupBy("group").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("outlier"), F.col("n_shingles"))).alias("out"))
+    cells = cells.select("group", F.ceil(F.col("all") / CELL).cast("int").alias("bs"), F.ceil(F.col("out") / CELL).cast("int").alias("cs"))
+    placed = members.join(cells, "group").join(_sets(docs, members, width), "rep")
+    of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.select("group", of("bs").alias("b"), every("cs").alias("c"), "rep", "root", F.lit(False).alias("outlier"), "shingles")
+    right = placed.where("outlier").select("group", every("bs").alias("b"), of("cs").alias("c"), "rep", "root", "outlier", "shingles")
+    together = left.unionByName(right).repartition("group", "b", "c").sortWithinPartitions("group", "b", "c")
+    more = cut(_across(together, percent), "more")
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
