@@ -238,7 +238,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     reps = cut(reps, "classes")
     same = (signed.doc_id == reps.rep) & (signed.set_key == reps.set_key)
     chosen = signed.join(reps, same).select("rep", reps.set_key, "n_shingles", "keys").dropDuplicates(["rep", "set_key"])
-    texts = docs.join(reps.select("rep").distinct(), docs.doc_id == F.col("rep")).select("rep", "text")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text")
     roots = links(chosen, texts, percent, width)
     found = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
     found = found.join(roots, found.rep == roots.node, "left")
