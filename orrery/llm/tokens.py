@@ -1,67 +1,102 @@
 """Encoding with a public tokenizer, each distinct stretch of text once per worker.
 
-Both vocabularies cut a text before a single space between two non-space characters whatever stands
-around it, so ids of a text are the ids of its stretches, one after another. Stretches are encoded by
-the tokenizers library in one joined call, kept in a bounded cache, and joined as bytes. Texts with
-other white space around a space go to the library whole.
+Ids of a text are the ids of its stretches, one after another, because the vocabularies cut a text at
+certain places whatever stands around them. Stretches are encoded by the tokenizers library in joined
+calls, kept in a bounded cache, and their ids joined as bytes. Where the cuts aren't certain, texts go
+to the library whole.
+
+A vocabulary that drops white space cuts at any of it. A byte-level one cuts before a single space or
+line feed between two characters that are no white space.
 """
 
 from __future__ import annotations
 
-import re
+from itertools import islice
 
 import numpy as np
 import tokenizers
 
-#: Stretches that a worker keeps; then it starts anew.
+#: Stretches that a worker keeps. Beyond it the later half goes: what came early comes often.
 CACHE = 1_500_000
 _MARK = "\x1c"
-_ODD = re.compile(r"\s | \s|^ | $|\x1c")
+#: White space other than space and line feed, and what Python takes for white space and others don't.
+_RARE = [chr(i) for i in range(0x3001) if (chr(i).isspace() or chr(i) == _MARK) and chr(i) not in " \n"]
+_UNSURE = [_MARK, "\x1d", "\x1e", "\x1f"]
 
 
 class Encoder:
-    """ids(texts) gives the ids of each text as bytes, two each (little-endian): both vocabularies have fewer than 65,536."""
+    """ids(texts) gives the ids of each text as bytes, two each (little-endian): the vocabularies have fewer than 65,536."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit two bytes")
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.drops_space = encode("a b\nc") == encode("a") + encode("b") + encode("c")
         self.cache: dict[str, bytes] = {}
-        self.mark = self.tokenizer.encode(" " + _MARK, add_special_tokens=False).ids
+        self.mark = encode(" " + _MARK)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def stretches(self, text: str) -> list[str] | None:
+        """The stretches of text; in a byte-level vocabulary one that doesn't start with a line feed
+        stands for itself after a space, and the text's first after none. None: encode it whole."""
+        if self.drops_space:
+            return None if any(c in text for c in _UNSURE) else text.split()
+        if not text or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n":
+            return None
+        if any(c in text for c in _RARE):
+            return None
+        return text.replace("\n", " \n").split(" ")
+
     def _learn(self, new: list[str]) -> None:
-        """The ids of each stretch, from a call on all of them with marks between."""
+        """The ids of each stretch, from calls on many of them with marks between."""
         end, k = self.mark[-1], len(self.mark)
+        lead = "" if self.drops_space else " "
         for i in range(0, len(new), 200):
-            part = new[i : i + 200]
-            joined = (" " + _MARK).join(part) + " " + _MARK
+            part = [s if s[:1] == "\n" else lead + s for s in new[i : i + 200]]
+            joined = (" " + _MARK + " " * self.drops_space).join(part) + " " + _MARK
             ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u2")
             ends = np.flatnonzero(ids == end)
             if len(ends) != len(part):  # the mark's id stands in a stretch
-                self.cache.update((s, self.whole(s)) for s in part)
+                self.cache.update((s, self.whole(p)) for s, p in zip(new[i : i + 200], part))
                 continue
             raw, last = ids.tobytes(), 0
-            for s, e in zip(part, (2 * (ends + 1)).tolist()):
+            for s, e in zip(new[i : i + 200], (2 * (ends + 1)).tolist()):
                 self.cache[s] = raw[last : e - 2 * k]
                 last = e
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        for t in texts:
-            if _ODD.search(t):
-                cut.append(None)
-            else:
-                parts = t.split(" ")
-                cut.append([parts[0], *[" " + p for p in parts[1:]]])
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        cut = [self.stretches(t) for t in texts]
         cache = self.cache
-        self._learn(list({s for c in cut if c for s in c if s not in cache}))
-        return [self.whole(t) if c is None else b"".join([cache[s] for s in c]) for t, c in zip(texts, cut)]
+        if len(cache) > CACHE:
+            for s in list(islice(cache, CACHE // 2, None)):
+                del cache[s]
+        get, skip = cache.get, 0 if self.drops_space else 1
+        found, missing, new = [], [], {}
+        for c in cut:
+            f = None if c is None else list(map(get, c[skip:] if skip else c))
+            gone = None
+            if f is not None and None in f:
+                gone = [s for s, x in zip(c[skip:] if skip else c, f) if x is None]
+                new.update(dict.fromkeys(gone))
+            found.append(f)
+            missing.append(gone)
+        if new:
+            self._learn(list(new))
+        out = []
+        for t, c, f, gone in zip(texts, cut, found, missing):
+            if f is None:
+                out.append(self.whole(t))
+                continue
+            if gone:
+                learned = map(cache.__getitem__, gone)
+                f = [next(learned) if x is None else x for x in f]
+            ids = b"".join(f)
+            out.append(self.whole(c[0]) + ids if skip else ids)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
