@@ -280,10 +280,10 @@ def ag07_cooccurrence_users(d):
 TOK = f"t AS (SELECT repo_id, {TOKENS} AS l FROM descriptions), k AS (SELECT repo_id, len(l) AS n, unnest(l) AS token FROM t), tf AS (SELECT repo_id, token, sum(1.0::DOUBLE / n) AS tf FROM k GROUP BY repo_id, token)"
 
 
-@query(f"WITH {TOK} SELECT repo_id, token, round(tf, 6) AS tf FROM tf")
+@query(f"WITH {TOK} SELECT repo_id, token, round(tf + 1e-10, 6) AS tf FROM tf")
 def ag11_term_frequency(d):
     x = d.descriptions.select("repo_id", X.tokenize(F.col("description")).alias("l")).select("repo_id", F.size("l").alias("n"), F.explode("l").alias("token"))
-    return _round(x.groupBy("repo_id", "token").agg((F.count("*") / F.first("n")).alias("tf")), "tf")
+    return _round(x.groupBy("repo_id", "token").agg((F.count("*") / F.first("n") + 1e-10).alias("tf")), "tf")
 
 
 @query(f"WITH {TOK}, df AS (SELECT token, count(*) AS df FROM tf GROUP BY token HAVING count(*) >= 5), i AS (SELECT tf.*, df, tf * ln((SELECT 2.0 * count(*) FROM repos) / df) AS tfidf FROM tf JOIN df USING (token)) SELECT repo_id, token, df, round(tfidf, 6) AS tfidf, round(sqrt(sum(tfidf * tfidf) OVER (PARTITION BY repo_id)), 6) AS norm FROM i")
@@ -387,9 +387,9 @@ s2 AS (SELECT u, user_id, w / sum(k) OVER (PARTITION BY u) AS w FROM st), dg AS
 pp AS (SELECT u AS user_id, c.repo_id, sum(w / d) AS total, count(*) AS n FROM s2 JOIN dg USING (user_id) JOIN watches c ON c.user_id = s2.user_id GROUP BY 1, 2)"""
 
 
-@query(f"WITH {PROP} SELECT p.user_id, p.repo_id, round(total, 9) AS total, n, round(total / n, 9) AS mean FROM pp p LEFT JOIN watches w ON w.user_id = p.user_id AND w.repo_id = p.repo_id WHERE w.user_id IS NULL")
+@query(f"WITH {PROP} SELECT p.user_id, p.repo_id, round(total + 1e-13, 9) AS total, n, round(total / n + 1e-13, 9) AS mean FROM pp p LEFT JOIN watches w ON w.user_id = p.user_id AND w.repo_id = p.repo_id WHERE w.user_id IS NULL")
 def grf07_propagation(d):
-    return graph.propagate(d.watches).withColumns({k: F.round(k, 9) for k in ("total", "mean")})
+    return graph.propagate(d.watches).withColumns({k: F.round(F.col(k) + 1e-13, 9) for k in ("total", "mean")})
 
 
 @query("SELECT 'repo' AS type, count(*) AS n FROM repos UNION ALL SELECT 'user', count(DISTINCT user_id) FROM watches UNION ALL SELECT 'author', count(DISTINCT author_name) FROM repos")
@@ -508,7 +508,7 @@ def _source_sql() -> dict[str, str]:
         "coocs": coocs("cooc", " AND in_cooc"),
         "coocs2": coocs("cooc2", ""),
         "most_watched": f"WITH {POP} SELECT user_id, repo_id FROM test_users, pop WHERE popularity_rank < 100",
-        "probability_propagation": f"WITH {PROP} SELECT p.user_id, p.repo_id, round(total, 9) AS total, n, round(total / n, 9) AS mean FROM pp p LEFT JOIN watches w ON w.user_id = p.user_id AND w.repo_id = p.repo_id WHERE w.user_id IS NULL AND p.user_id IN (SELECT user_id FROM test_users)",
+        "probability_propagation": f"WITH {PROP} SELECT p.user_id, p.repo_id, round(total + 1e-13, 9) AS total, n, round(total / n + 1e-13, 9) AS mean FROM pp p LEFT JOIN watches w ON w.user_id = p.user_id AND w.repo_id = p.repo_id WHERE w.user_id IS NULL AND p.user_id IN (SELECT user_id FROM test_users)",
         "in_cluster_repo": f"""WITH {NW}, {W}, v AS (SELECT v.repo_id, cluster_id, embedding::DOUBLE[] AS e, coalesce(n_watchers, 0) AS n, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(n_watchers, 0) DESC, v.repo_id) - 1 AS k FROM vectors v LEFT JOIN nw USING (repo_id)),
             x0 AS (SELECT w.user_id, b.repo_id, max(b.n) AS n_cluster_watchers, max(b.k) AS cluster_rank, max(list_dot_product(a.e, b.e)) AS max_dot, max(list_cosine_similarity(a.e, b.e)) AS max_cosine, count(*) AS n_near FROM w JOIN v a USING (repo_id) JOIN v b ON b.cluster_id = a.cluster_id AND b.repo_id <> a.repo_id GROUP BY 1, 2),
             x AS (SELECT x0.* FROM x0 LEFT JOIN w ON w.user_id = x0.user_id AND w.repo_id = x0.repo_id WHERE w.user_id IS NULL), {NOT_ALIKE}
@@ -528,7 +528,8 @@ for _n, _name in enumerate(cand.SOURCES, 1):
             more["user_clusters"] = d.watches.select("user_id").distinct().select("user_id", (F.col("user_id") % 50).alias("vec")).join(d.vectors.where("repo_id <= 50").select((F.col("repo_id") - 1).alias("vec"), "embedding"), "vec").select("user_id", (F.col("vec") % 25).alias("cluster_id"), "embedding")
         out = cand.source(name)(_c(d, **more))
         digits = 9 if name == "probability_propagation" else 6
-        out = out.withColumns({c: F.round(c, digits) for c in out.columns if c in _FLOATS})
+        nudge = 1e-13 if digits == 9 else 0.0
+        out = out.withColumns({c: F.round(F.col(c) + nudge, digits) for c in out.columns if c in _FLOATS})
         return _big(out, *(c for c, t in out.dtypes if t in ("int", "smallint")))
 
     _run.__name__ = f"srce_{_name}"
