@@ -165,7 +165,7 @@ def scan(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
 def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The digest of scan(): doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[1] - s[0])
-    return scan(docs, items, block_bytes).select(
+    return scan(docs.select("doc_id", "text"), items, block_bytes).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
