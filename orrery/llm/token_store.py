@@ -147,7 +147,7 @@ def write(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: str | N
             yield flush()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // FILE_BYTES) + 1)
-    placed = docs.repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    placed = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     small_batches(spark)
     placed.mapInArrow(to_files, "part long, piece long, name string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return folder
