@@ -5,8 +5,8 @@ Markup is stripped into a line for each block element, in page order. What can't
 reader comments, told by element, role, class or id) leaves its line empty. The lengths of lines are
 then summed over windows of WINDOW lines; text surges where a window rises above SURGE and dives where
 it falls to it, and all lines between a surge and its dive are kept. Where a page marks its article
-(article or main, or an element named as such), lines outside it count as empty; otherwise the stretch
-with the most text is kept, with those stretches that hold at least a fifth of it.
+(article or main, or an element named as such), lines outside it count as empty; otherwise lines that
+are links alone do.
 
 Edge cases: null or empty html, html without text, and pages of boilerplate alone give the empty
 string; unclosed elements end with what holds them; text of any length is one linear pass; repeated rows are
@@ -60,22 +60,42 @@ def lines(page: str) -> list[tuple[str, bool]]:
     """The text of each block in page order, boilerplate empty, and whether it stands in a marked article."""
     out: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # name, noise, article
-    noise = article = 0
+    noise = article = links = linked = size = 0
     held: list[str] = []
 
+    def hold(text: str) -> None:
+        nonlocal linked, size
+        held.append(text)
+        n = len(text.strip())
+        linked, size = linked + (n if links else 0), size + n
+
     def end_block() -> None:
-        out.append((_SPACE.sub(" ", html.unescape("".join(held))).strip() if held else "", article > 0))
+        nonlocal linked, size
+        text = _SPACE.sub(" ", html.unescape("".join(held))).strip() if held else ""
+        # Outside a marked article, a line of links alone is a menu.
+        out.append(("" if not article and linked and linked == size else text, article > 0))
         held.clear()
+        linked = size = 0
 
     def shut() -> None:
-        nonlocal noise, article
-        _, n, a = open_.pop()
-        noise, article = noise - n, article - a
+        nonlocal noise, article, links
+        name, n, a = open_.pop()
+        noise, article, links = noise - n, article - a, links - (name == "a")
+
+    def close(kind: str) -> None:
+        """Ends an open element of kind, unless something that holds blocks stands between."""
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] == kind:
+                while len(open_) > k:
+                    shut()
+                return
+            if open_[k][0] in _BLOCKS:
+                return
 
     last = 0
     for m in _TOKEN.finditer(page):
         if m.start() > last and not noise:
-            held.append(page[last : m.start()])
+            hold(page[last : m.start()])
         last = m.end()
         name = m.group(3)
         if not name:
@@ -97,14 +117,9 @@ def lines(page: str) -> list[tuple[str, bool]]:
             continue
         if name in _BLOCKS:
             end_block()
-            if name in _CLOSES_ITSELF:  # <p> ends an open <p>, unless something that holds blocks stands between
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == name:
-                        while len(open_) > k:
-                            shut()
-                        break
-                    if open_[k][0] in _BLOCKS:
-                        break
+            close("p")
+            if name in _CLOSES_ITSELF and name != "p":
+                close(name)
         if name in _VOID or m.group(4).endswith("/"):
             continue
         is_noise, is_article = _named(name, m.group(4))
@@ -112,9 +127,9 @@ def lines(page: str) -> list[tuple[str, bool]]:
             if name not in _BLOCKS:
                 end_block()
         open_.append((name, is_noise, is_article))
-        noise, article = noise + is_noise, article + is_article
+        noise, article, links = noise + is_noise, article + is_article, links + (name == "a")
     if last < len(page) and not noise:
-        held.append(page[last:])
+        hold(page[last:])
     end_block()
     return out
 
@@ -144,11 +159,7 @@ def main_text(page: str | None) -> str:
     marked = any(inside and text for text, inside in blocks)
     texts = [text if inside or not marked else "" for text, inside in blocks]
     sizes = [len(t) for t in texts]
-    found = stretches(sizes)
-    if not marked and found:
-        mass = {s: sum(sizes[s[0] : s[1]]) for s in found}
-        found = [s for s in found if 5 * mass[s] >= max(mass.values())]
-    return "\n\n".join(t for a, b in found for t in texts[a:b] if t)
+    return "\n\n".join(t for a, b in stretches(sizes) for t in texts[a:b] if t)
 
 
 def _batch(b: pa.RecordBatch) -> pa.RecordBatch:
