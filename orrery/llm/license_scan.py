@@ -52,7 +52,7 @@ NOTICES = {
     "proprietary and confidential": "proprietary",
 }
 #: Edits allowed for each letter of a notice, and the shortest piece that may be a seed.
-EDIT_SHARE, LEAST_PIECE = 1 / 14, 9
+EDIT_SHARE, LEAST_PIECE = 1 / 10, 7
 
 
 def _pieces(notice: str, edits: int) -> list[str]:
