@@ -110,8 +110,8 @@ def random_walk(watches: DataFrame, rounds: int = 20, restart: float = 0.25) ->
     degree = watches.withColumn("du", F.count("*").over(Window.partitionBy("user_id"))).withColumn("dr", F.count("*").over(Window.partitionBy("repo_id")))
     edges = written(degree.select("user_id", "repo_id", "du", "dr"), "edges")
     users = edges.select("user_id").distinct()
-    n = users.count()
-    user = users.withColumn("p", F.lit(1.0 / max(n, 1)))
+    n = max(users.count(), 1)
+    user = users.withColumn("p", F.lit(1.0 / n))
     repo = None
     for k in range(rounds):
         repo = edges.join(user, "user_id").groupBy("repo_id").agg(F.sum(F.col("p") / F.col("du")).alias("p"))
