@@ -109,17 +109,20 @@ def watched_by_collaborator(c: Context) -> DataFrame:
 
 
 def _alike(c: Context, key: str) -> DataFrame:
-    """Unwatched repos that share key with W, with counts and ranks within their (user, key) group."""
-    w = c.watched.join(c.counted, "repo_id").where(F.col(key).isNotNull()).groupBy("user_id", key).agg(F.count("*").alias("n_watched"))
-    group = Window.partitionBy("user_id", key)
-    order = group.orderBy(F.desc("n_watchers"))
-    rows = w.join(c.counted.select("repo_id", key, "n_watchers"), key)
-    rows = rows.join(c.watched.withColumn("seen", F.lit(1)), ["user_id", "repo_id"], "left")
-    rows = rows.withColumn("n_repos", F.count("*").over(group)).withColumn("n_group_watchers", F.sum("n_watchers").over(group))
-    rows = rows.withColumn("abs_rank", F.rank().over(order) - 1)
-    fresh = rows.where("seen is null").withColumn("unwatched", F.count("*").over(group)).withColumn("unwatched_rank", F.rank().over(order) - 1)
+    """Unwatched repos that share key with W, with counts and ranks within their (user, key) group.
+
+    A group's ranks among all its repos are found once, not for each user; the rank among those that a
+    user doesn't watch is lower by the watched repos of the group with more watchers.
+    """
+    group = Window.partitionBy(key)
+    every = c.counted.where(F.col(key).isNotNull()).select("repo_id", key, "n_watchers")
+    every = every.withColumn("n_repos", F.count("*").over(group)).withColumn("n_group_watchers", F.sum("n_watchers").over(group)).withColumn("abs_rank", F.rank().over(group.orderBy(F.desc("n_watchers"))) - 1)
+    w = c.watched.join(every, "repo_id").groupBy("user_id", key).agg(F.count("*").alias("n_watched"), F.collect_list("repo_id").alias("seen"), F.collect_list("n_watchers").alias("seen_watchers"))
+    rows = w.join(every, key).where(~F.array_contains("seen", F.col("repo_id")))
+    above = F.size(F.filter("seen_watchers", lambda n: n > F.col("n_watchers")))
+    rows = rows.withColumn("unwatched_rank", F.col("abs_rank") - above).withColumn("unwatched", F.col("n_repos") - F.col("n_watched"))
     x = F.col
-    return fresh.select(
+    return rows.select(
         "user_id", "repo_id", "n_watched", "n_repos", xdiv(x("n_watched"), x("n_repos")).alias("watched_share"), "n_group_watchers",
         xdiv(x("n_watchers"), x("n_group_watchers")).alias("watcher_share"), "abs_rank", xdiv(x("abs_rank"), x("n_repos")).alias("abs_pct"),
         "unwatched_rank", xdiv(x("unwatched_rank"), x("unwatched")).alias("unwatched_pct"),
