@@ -751,3 +751,132 @@ def rk08_heuristic_score(d):
     p, m = cand.parents_of_watched(c), cand.same_name(c).select("user_id", "repo_id")
     none = p.limit(0)
     return ranking.set_score(p.unionByName(m).distinct(), p, none, m, none)
+
+
+# More of the inventory under names of its own.
+@query(f"WITH {W} SELECT user_id, repo_id FROM w EXCEPT SELECT user_id, answer FROM test_users")
+def st02_difference(d):
+    return _c(d).watched.join(_pairs(d), ["user_id", "repo_id"], "left_anti")
+
+
+@query(f"WITH {W} SELECT user_id, repo_id FROM w INTERSECT SELECT user_id, answer FROM test_users")
+def st03_intersection(d):
+    return _c(d).watched.join(_pairs(d), ["user_id", "repo_id"], "left_semi")
+
+
+@query("SELECT DISTINCT user_id, repo_id FROM (SELECT user_id, repo_id FROM watches UNION ALL SELECT user_id, answer FROM test_users)")
+def st01_st04_union_distinct(d):
+    return d.watches.unionByName(_pairs(d)).distinct()
+
+
+@query("SELECT w.user_id, r.name, r.author_name FROM watches w JOIN repos r USING (repo_id)")
+def jn01_lookup(d):
+    return d.watches.join(d.repos, "repo_id").select("user_id", "name", "author_name")
+
+
+@query(f"WITH {W} SELECT t.user_id, p.repo_id FROM test_users t, (SELECT repo_id FROM watches GROUP BY repo_id ORDER BY count(*) DESC, repo_id LIMIT 100) p EXCEPT SELECT user_id, repo_id FROM w")
+def jn06_unwatched(d):
+    c = _c(d)
+    return cand.most_watched(c).join(c.watched, ["user_id", "repo_id"], "left_anti")
+
+
+@query(f"WITH {W}, x AS (SELECT t.user_id, r.repo_id FROM test_users t, repos r WHERE r.repo_id % 17 = 0), {NOT_ALIKE} SELECT user_id, repo_id FROM fine")
+def jn07_not_alike(d):
+    c = _c(d)
+    x = c.users.join(F.broadcast(d.repos.where("repo_id % 17 = 0").select("repo_id", F.lit(1).alias("one"))), F.lit(1) == F.col("one")).select("user_id", "repo_id")
+    return cand._not_alike(x, c).select("user_id", "repo_id")
+
+
+@query("SELECT user_id, repo_id FROM watches WHERE repo_id IN (SELECT repo_id FROM repos WHERE parent_id IS NOT NULL)")
+def jn08_membership(d):
+    return d.watches.join(d.repos.where("parent_id is not null").select("repo_id"), "repo_id", "left_semi").select("user_id", "repo_id")
+
+
+ALIKE_SCORES = SCORED + ", s AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY score DESC) - 1 AS lo, count(*) OVER (PARTITION BY user_id, score) AS t, count(*) OVER (PARTITION BY user_id) AS n FROM x)"
+
+
+@query(ALIKE_SCORES + " SELECT user_id, repo_id, round((lo + lo + t) / 2.0, 6) AS heuristic_rank, round((lo + lo + t) / 2.0 / n, 6) AS heuristic_pct FROM s")
+def wn10_heuristic_rank(d):
+    return _round(ranking.heuristic(_scored(d), ["user_id"]).select("user_id", "repo_id", "heuristic_rank", "heuristic_pct"), "heuristic_rank", "heuristic_pct")
+
+
+@query(ALIKE_SCORES + " SELECT user_id, repo_id, round(lo::DOUBLE / n, 6) AS pct FROM s")
+def wn03_percentile(d):
+    x = ranking.ranked(_scored(d), ["user_id"]).withColumn("n", F.count("*").over(ranking.Window.partitionBy("user_id")))
+    return x.select("user_id", "repo_id", F.round(F.col("min_rank") / F.col("n"), 6).alias("pct"))
+
+
+@query(SCORED + " SELECT user_id, repo_id, author_name, row_number() OVER (PARTITION BY user_id, author_name ORDER BY score DESC, repo_id DESC) - 1 AS author_rank FROM x JOIN repos USING (repo_id)")
+def wn11_author_rank(d):
+    x = _scored(d).join(d.repos.select("repo_id", "author_name"), "repo_id")
+    k = F.row_number().over(ranking.Window.partitionBy("user_id", "author_name").orderBy(F.desc("score"), F.desc("repo_id"))) - 1
+    return x.select("user_id", "repo_id", "author_name", k.cast("long").alias("author_rank"))
+
+
+@query(SCORED + " , p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, repo_id DESC) - 1 AS position FROM x) SELECT p.user_id, p.position, p.repo_id, p.score, t.user_id IS NOT NULL AS correct, coalesce(nw.n_watchers, 0) AS n_watchers, r.name FROM p LEFT JOIN test_users t ON t.user_id = p.user_id AND t.answer = p.repo_id LEFT JOIN nw ON nw.repo_id = p.repo_id LEFT JOIN repos r ON r.repo_id = p.repo_id WHERE position < 20")
+def snk04_predictions(d):
+    x = ranking.ranked(_scored(d), ["user_id"]).where("position < 20")
+    return _big(sinks.predictions(x, d.test_users, _c(d).counted), "position")
+
+
+@query(SCORED + ", p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, repo_id DESC) - 1 AS position FROM x), m AS (SELECT count(*) AS users, count(*) FILTER (position < 10) AS correct, count(position) AS possible FROM test_users t LEFT JOIN p ON p.user_id = t.user_id AND p.repo_id = t.answer) SELECT unnest(['users ' || users, 'correct ' || correct, 'possible ' || possible]) AS value FROM m")
+def snk06_report(d):
+    m = ev.recall(ranking.ranked(_scored(d), ["user_id"]), d.test_users)
+    return sinks.report_lines(_big(m.select("users", "correct", "possible"), "correct"))
+
+
+@query(f"WITH {MATRIX} SELECT c AS row, r AS col, v AS value FROM m")
+def ml08_transpose(d):
+    return ml.transpose(d.watches.select(F.col("repo_id").alias("row"), F.col("user_id").alias("col"), F.lit(1.0).alias("value")))
+
+
+@query(f"WITH {MATRIX} SELECT r AS row, sum(v * (c % 7)) AS value FROM m GROUP BY r")
+def ml08_times_vector(d):
+    m = d.watches.select(F.col("repo_id").alias("row"), F.col("user_id").alias("col"), F.lit(1.0).alias("value"))
+    return ml.times_vector(m, d.watches.select(F.col("user_id").alias("col")).distinct().withColumn("x", (F.col("col") % 7).cast("double")))
+
+
+@query("SELECT t.user_id, t.answer AS repo_id, list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) > 0 AS has_vector FROM test_users t JOIN vectors a ON a.repo_id = t.answer")
+def rk03_has_vector(d):
+    v = d.vectors.select("repo_id", "embedding")
+    return _pairs(d).join(v, "repo_id").select("user_id", "repo_id", (N.dot(F.col("embedding"), F.col("embedding")) > 0).alias("has_vector"))
+
+
+@query(f"""WITH {W}, v AS (SELECT repo_id, embedding::DOUBLE[] AS e FROM vectors) SELECT t.user_id, t.answer AS repo_id, round(coalesce(max(list_dot_product(a.e, b.e)), -2), 6) AS kw_best_dot, round(coalesce(max(list_cosine_similarity(a.e, b.e)), -2), 6) AS kw_best_cosine
+FROM test_users t LEFT JOIN v a ON a.repo_id = t.answer LEFT JOIN w ON w.user_id = t.user_id AND w.repo_id <> t.answer LEFT JOIN v b ON b.repo_id = w.repo_id GROUP BY t.user_id, t.answer""")
+def rk03_best_against_watched(d):
+    v = d.vectors.select("repo_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return _round(feat.best_against_watched(_pairs(d), _c(d).watched, v, "kw"), "kw_best_dot", "kw_best_cosine")
+
+
+@query()
+def rk03_keyword_overlap(d):
+    x = d.descriptions.select("repo_id", X.tokenize(F.col("description")).alias("l")).select("repo_id", F.size("l").alias("n"), F.explode("l").alias("token"))
+    tf = x.groupBy("repo_id", "token").agg((F.count("*") / F.first("n")).alias("tf"))
+    return feat.keyword_overlap(_pairs(d), _c(d).watched, keywords.tf_idf(tf, d.repos.count()))
+
+
+@query()
+def rk03_vectors(d):
+    v = d.vectors.select("repo_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    u = ml.user_centroids(d.watches, v)
+    return feat.vectors(_pairs(d), u, v, u, [1.0] * 64)
+
+
+@query()
+def snk03_training_lines(d):
+    rows = ev.training_rows(_scored(d), _c(d).watched, d.test_users).withColumn("f", F.col("repo_id") % 3)
+    return sinks.training_lines(rows, ["f"])
+
+
+@query()
+def rk04_default_ranker(d):
+    c = _c(d)
+    return ranking.top(ranking.merge(_lists(d, c), c.watched, MERGED).select("user_id", "repo_id", F.round("score", 4).alias("score")), ["user_id"], 10)
+
+
+@query(f"WITH {_LIST_SQL} SELECT count(DISTINCT (l3.user_id, l3.repo_id)) AS choices, count(DISTINCT l3.user_id) AS users FROM l3")
+def eval07_possible_only(d):
+    c = _c(d)
+    rows = _lists(d, c).where("keep").join(c.watched, ["user_id", "repo_id"], "left_anti").select("user_id", "repo_id").distinct()
+    return rows.agg(F.count("*").alias("choices"), F.count_distinct("user_id").alias("users"))
