@@ -69,7 +69,7 @@ class WatchDataset:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> WatchDataset:
-        # A view prefix of its own, so that two datasets of a session don't meet.
+        # Views are resolved as the statements are read, so a later dataset's views don't change this one.
         for t in {t for need in _NEEDS.values() for t in need}:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         out = {}
