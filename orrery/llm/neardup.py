@@ -248,9 +248,12 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each class: that of the smallest id, and of rows with that same id and text, one."""
-    kept = cut(classes(docs, width, percent).where("kept").groupBy("doc_id").count(), "kept")
-    some = docs.join(kept.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
-    return some if kept.where("count > 1").isEmpty() else some.dropDuplicates(["doc_id", "text"])
+    ids = classes(docs, width, percent).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.sum(F.col("kept").cast("int")).alias("n"))
+    ids = cut(ids.where("doc_id is not null"), "kept")
+    gone = ids.where("not kept").select("doc_id")
+    # Few ids are sent to the texts; many are joined.
+    some = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return some if ids.where("n > 1").isEmpty() else some.dropDuplicates(["doc_id", "text"])
 
 
 def brute(docs: list[tuple[int, str | None]], width: int = 2, percent: int = 80) -> dict[int, tuple[int, int]]:
