@@ -36,7 +36,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    # Executors that ran four stages before have less memory left than those of a packing job alone.
+    return packing.pack(docs, remembered=400_000)
 
 
 STAGES = [(f.__name__, f) for f in (quality_rules, near_dedup, decontamination, personal_data, best_fit_packing)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: a thousand texts of 100 kB are 100 MB, so batches stay small.
-BATCH_ROWS = 256
+BATCH_ROWS = 128
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,5 +63,18 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def claim(name: str, cache: dict) -> dict:
+    """cache, after the caches of other operators in this worker were emptied: a worker that is used
+    again for another stage doesn't hold what the stage before remembered."""
+    for other, held in _CACHES.items():
+        if other != name:
+            held.clear()
+    _CACHES[name] = cache
+    return cache
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_map, cut, small_batches
+from orrery.llm.common import arrow_map, claim, cut, small_batches
 
 BANDS, ROWS = 24, 4
 #: Shingles of the members, and of the outliers, that are compared in one place.
@@ -34,7 +34,7 @@ CELL = 400_000
 #: Ids of 8 bytes that are sent to all tasks at most.
 BROADCAST_IDS = 1_000_000
 #: Words that a worker remembers the hash of.
-CACHE = 1_000_000
+CACHE = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _rng.integers(1, 1 << 63, BANDS * ROWS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +86,7 @@ SIGNED = "doc_id long, n_shingles long, set_key binary, keys array<long>"
 
 def _signer(width: int):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        claim("shingle words", _words)
         n, sets, keys = [], [], []
         for t in b.column("text").to_pylist():
             s = shingles(t, width)

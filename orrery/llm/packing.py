@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import arrow_map, cut
-from orrery.llm.tokens import encoder
+from orrery.llm.tokens import REMEMBERED, encoder
 
 CAPACITY, END_ID = 2048, 0
 #: Branches that the search tries before it takes the best plan so far.
@@ -169,13 +169,13 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def _cutter(tokenizer: str, capacity: int, keep_ids: bool):
+def _cutter(tokenizer: str, capacity: int, keep_ids: bool, remembered: int):
     end = struct.pack("<H", END_ID)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         texts = [t or "" for t in b.column("text").to_pylist()]
-        for doc_id, raw in zip(b.column("doc_id").to_pylist(), encoder(tokenizer).ids(texts)):
+        for doc_id, raw in zip(b.column("doc_id").to_pylist(), encoder(tokenizer, remembered).ids(texts)):
             ids = np.frombuffer(raw + end, "<u2").astype("<u4")
             at, k = 0, 0
             while at < len(ids):
@@ -189,10 +189,13 @@ def _cutter(tokenizer: str, capacity: int, keep_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Every piece of docs (doc_id, text) with its sequence_id and offset, and its ids (uint32) if keep_ids."""
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """Every piece of docs (doc_id, text) with its sequence_id and offset, and its ids (uint32) if keep_ids.
+
+    remembered: how many stretches of text a worker keeps the ids of; fewer take less memory and more time.
+    """
     spark = docs.sparkSession
-    made = arrow_map(docs.select("doc_id", "text"), _cutter(tokenizer, capacity, keep_ids), PIECES)
+    made = arrow_map(docs.select("doc_id", "text"), _cutter(tokenizer, capacity, keep_ids, remembered), PIECES)
     pieces = cut(made if keep_ids else made.drop("ids"), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     intervals, sequence = [], 0

@@ -16,8 +16,10 @@ from itertools import islice
 import numpy as np
 import tokenizers
 
-#: Stretches that a worker keeps. Beyond it the later half goes: what came early comes often.
-CACHE = 1_500_000
+from orrery.llm.common import claim
+
+#: Stretches that a worker keeps, about 170 bytes each. Beyond it the later half goes: what came early comes often.
+REMEMBERED = 1_500_000
 _MARK = "\x1c"
 #: White space other than space and line feed, and what Python takes for white space and others don't.
 _RARE = [chr(i) for i in range(0x3001) if (chr(i).isspace() or chr(i) == _MARK) and chr(i) not in " \n"]
@@ -27,7 +29,8 @@ _UNSURE = [_MARK, "\x1d", "\x1e", "\x1f"]
 class Encoder:
     """ids(texts) gives the ids of each text as bytes, two each (little-endian): the vocabularies have fewer than 65,536."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
@@ -71,8 +74,8 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         cut = [self.stretches(t) for t in texts]
         cache = self.cache
-        if len(cache) > CACHE:
-            for s in list(islice(cache, CACHE // 2, None)):
+        if len(cache) > self.remembered:
+            for s in list(islice(cache, self.remembered // 2, None)):
                 del cache[s]
         get, skip = cache.get, 0 if self.drops_space else 1
         found, missing, new = [], [], {}
@@ -102,7 +105,7 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(name_or_path: str) -> Encoder:
+def encoder(name_or_path: str, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder. A bare file name is looked up among the public tokenizers installed where the worker runs."""
     if name_or_path not in _ENCODERS:
         path = name_or_path
@@ -111,4 +114,7 @@ def encoder(name_or_path: str) -> Encoder:
 
             path = str(public_tokenizers.path(name_or_path))
         _ENCODERS[name_or_path] = Encoder(path)
-    return _ENCODERS[name_or_path]
+    found = _ENCODERS[name_or_path]
+    found.remembered = remembered
+    claim(f"tokens of {name_or_path}", found.cache)
+    return found
