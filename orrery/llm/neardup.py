@@ -54,7 +54,7 @@ def shingles(text: str | None, width: int = 2) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > CACHE:
+    if len(claim("shingle words", _words)) > CACHE:
         _words.clear()
     for w in set(words).difference(_words):
         _words[w] = xxhash.xxh64_intdigest(w)
@@ -86,7 +86,6 @@ SIGNED = "doc_id long, n_shingles long, set_key binary, keys array<long>"
 
 def _signer(width: int):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        claim("shingle words", _words)
         n, sets, keys = [], [], []
         for t in b.column("text").to_pylist():
             s = shingles(t, width)
