@@ -44,30 +44,26 @@ def _times(df: DataFrame, key: str, m: np.ndarray) -> DataFrame:
 def svd(entries: DataFrame, k: int = 50, rounds: int = 6, seed: int = 0) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """(row, v), singular values, (col, v) of the sparse matrix entries (row, col, value), by subspace iteration.
 
-    Products with the matrix are joins on the entries; the driver holds k x k matrices only.
+    Products with the matrix are joins on the entries, and each round writes one table of k numbers for
+    each column; the driver holds k x k matrices only. The order of the vectors is that of the values.
     """
     entries = written(entries.select("row", "col", F.col("value").cast("double").alias("value")), "entries")
-    k = max(1, min(k, entries.select("row").distinct().count(), entries.select("col").distinct().count()))
+    rows, cols = entries.agg(F.count_distinct("row"), F.count_distinct("col")).first()
+    k = max(1, min(k, rows, cols))
     start = [((F.xxhash64("col", F.lit(seed * 1000 + i)) % 2000003) / 2000003.0) for i in range(k)]
-    right = entries.select("col").distinct().select("col", F.array(*start).alias("v"))
+    right, s = entries.select("col").distinct().select("col", F.array(*start).alias("v")), np.zeros(k)
 
     def through(x: DataFrame, a: str, b: str) -> DataFrame:
-        held = entries.join(x, a).select(b, F.transform("v", lambda y: y * F.col("value")).alias("v"))
-        return written(_sum(held, b), "product")
+        return _sum(entries.join(x, a).select(b, F.transform("v", lambda y: y * F.col("value")).alias("v")), b)
 
-    def orthonormal(x: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
-        values, vectors = np.linalg.eigh(_gram(x, k))
+    for _ in range(rounds):
+        product = written(through(through(right, "col", "row"), "row", "col"), "product")
+        values, vectors = np.linalg.eigh(_gram(product, k))
         order = np.argsort(-values)
         values, vectors = np.maximum(values[order], 0), vectors[:, order]
-        scale = np.where(values > 1e-12 * max(values[0], 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
-        return written(_times(x, key, vectors * scale), "basis"), np.sqrt(values)
-
-    left, s = None, None
-    for _ in range(rounds):
-        left, _ = orthonormal(through(right, "col", "row"), "row")
-        product = through(left, "row", "col")
-        right, s = orthonormal(product, "col")
-    # right spans the space and its order is by singular values; the left vectors follow from it.
+        scale = np.where(values > 1e-14 * max(values[0], 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
+        right, s = _times(product, "col", vectors * scale), values**0.25  # the product is with the matrix and its transpose
+    right = written(right, "right")
     left = _times(through(right, "col", "row"), "row", np.diag(np.where(s > 1e-9, 1 / np.maximum(s, 1e-9), 0)))
     return left, s, right
 
