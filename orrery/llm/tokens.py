@@ -11,6 +11,7 @@ line feed between two characters that are no white space.
 
 from __future__ import annotations
 
+import os
 from itertools import islice
 
 import numpy as np
@@ -20,7 +21,10 @@ from orrery.llm.common import claim
 
 #: Stretches that a worker keeps, about 170 bytes each. Beyond it the later half goes: what came early comes often.
 REMEMBERED = 1_500_000
+#: Stretches that are encoded as one text.
+GROUP = 50
 _MARK = "\x1c"
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
 #: White space other than space and line feed, and what Python takes for white space and others don't.
 _RARE = [chr(i) for i in range(0x3001) if (chr(i).isspace() or chr(i) == _MARK) and chr(i) not in " \n"]
 _UNSURE = [_MARK, "\x1d", "\x1e", "\x1f"]
@@ -37,6 +41,12 @@ class Encoder:
             raise ValueError("ids must fit two bytes")
         encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.drops_space = encode("a b\nc") == encode("a") + encode("b") + encode("c")
+        # Where the vocabulary's normal form of ASCII words is their lower case, that is cheaper to make here.
+        self.plain = None
+        if self.drops_space and encode("Ab cD") == encode("ab cd"):
+            self.plain = tokenizers.Tokenizer.from_file(path)
+            self.plain.encode_special_tokens = True
+            self.plain.normalizer = None
         self.cache: dict[str, bytes] = {}
         self.mark = encode(" " + _MARK)
 
@@ -55,19 +65,29 @@ class Encoder:
         return text.replace("\n", " \n").split(" ")
 
     def _learn(self, new: list[str]) -> None:
-        """The ids of each stretch, from calls on many of them with marks between."""
+        """The ids of each stretch, from calls on groups of them with marks between."""
+        if self.plain is None:
+            self._learn_by(self.tokenizer, new, new)
+        else:
+            ascii_ = [s for s in new if s.isascii()]
+            self._learn_by(self.plain, ascii_, [s.lower() for s in ascii_])
+            other = [s for s in new if not s.isascii()]
+            self._learn_by(self.tokenizer, other, other)
+
+    def _learn_by(self, tokenizer: tokenizers.Tokenizer, new: list[str], forms: list[str]) -> None:
         end, k = self.mark[-1], len(self.mark)
-        lead = "" if self.drops_space else " "
-        for i in range(0, len(new), 200):
-            part = [s if s[:1] == "\n" else lead + s for s in new[i : i + 200]]
-            joined = (" " + _MARK + " " * self.drops_space).join(part) + " " + _MARK
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u2")
+        lead, between = ("", " " + _MARK + " ") if self.drops_space else (" ", " " + _MARK)
+        forms = [s if s[:1] == "\n" else lead + s for s in forms]
+        groups = [between.join(forms[i : i + GROUP]) + " " + _MARK for i in range(0, len(forms), GROUP)]
+        for i, found in enumerate(tokenizer.encode_batch_fast(groups, add_special_tokens=False)):
+            part = new[i * GROUP : (i + 1) * GROUP]
+            ids = np.array(found.ids, "<u2")
             ends = np.flatnonzero(ids == end)
             if len(ends) != len(part):  # the mark's id stands in a stretch
-                self.cache.update((s, self.whole(p)) for s, p in zip(new[i : i + 200], part))
+                self.cache.update((s, self.whole(f)) for s, f in zip(part, forms[i * GROUP :]))
                 continue
             raw, last = ids.tobytes(), 0
-            for s, e in zip(new[i : i + 200], (2 * (ends + 1)).tolist()):
+            for s, e in zip(part, (2 * (ends + 1)).tolist()):
                 self.cache[s] = raw[last : e - 2 * k]
                 last = e
 
