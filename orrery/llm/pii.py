@@ -198,8 +198,8 @@ def mask(docs: DataFrame) -> DataFrame:
     rows = with_spans(rows).withColumnRenamed("spans", "_spans")
     if promoted is not None:
         rows = rows.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-        rows = rows.join(_hits(found, promoted).withColumnRenamed("key", "_key"), "_key", "left")
-        rows = rows.withColumn("_spans", F.when(F.size("more") > 0, F.concat("_spans", "more")).otherwise(F.col("_spans"))).drop("more")
+        rows = rows.join(_hits(found, promoted).select(F.col("key").alias("_key"), F.col("more").alias("_more")), "_key", "left")
+        rows = rows.withColumn("_spans", F.when(F.size("_more") > 0, F.concat("_spans", "_more")).otherwise(F.col("_spans")))
     # Merged: overlapping spans become one with the first's kind. Then the text is put together from what lies between.
     merged = (
         "aggregate(array_sort(_spans), cast(array() as array<struct<s:int,e:int,k:string>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).e > x.start "
