@@ -31,8 +31,8 @@ from orrery.llm.tokens import REMEMBERED, encoder
 CAPACITY, END_ID = 2048, 0
 #: Branches that the search tries before it takes the best plan so far.
 NODES = 20_000
-#: Pieces of one length that are ranked together.
-GROUP = 200_000
+#: Pieces of one length that are ranked together, about.
+GROUP = 1_000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -208,10 +208,10 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
             used[size], offset = at + times, offset + size
         sequence += times
     places = spark.createDataFrame(intervals, "length long, low long, high long, shift long, offset long")
-    # Rank among equal lengths: within groups of about GROUP pieces, then moved by the groups before.
-    groups = 1 + max(counts.values(), default=0) // GROUP
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int")
-    pieces = pieces.withColumn("part", part)
+    # Rank among equal lengths: within groups of about GROUP pieces, then moved by the groups before. A length
+    # that many pieces share has many groups. The number of groups by length is a table of at most capacity rows.
+    groups = spark.createDataFrame([(k, 1 + n // GROUP) for k, n in counts.items()], "length long, groups long")
+    pieces = pieces.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
     sizes = pieces.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
