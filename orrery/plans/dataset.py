@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.plans.ship import ship
+
 VIEWS = {
     "watches_dense": """
         SELECT DISTINCT o_custkey AS user_id, l_partkey + 1 AS repo_id
@@ -69,6 +71,7 @@ class WatchDataset:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> WatchDataset:
+        ship(spark)
         # Views are resolved as the statements are read, so a later dataset's views don't change this one.
         for t in {t for need in _NEEDS.values() for t in need}:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
