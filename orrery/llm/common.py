@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.plans.ship import ship
+
 #: Rows in an Arrow batch: a thousand texts of 100 kB are 100 MB, so batches stay small.
 BATCH_ROWS = 128
 
@@ -43,7 +45,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Makes the session's Arrow batches small enough for long texts."""
+    """Makes the session's Arrow batches small enough for long texts, and the package known to its workers."""
+    ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
