@@ -2,11 +2,13 @@
 
 Markup is stripped into a line for each block element, in page order. What can't be article text
 (scripts, styles, comments, menus, page headers and footers, sidebars, forms, adverts, notices and
-reader comments, told by element, role, class or id) leaves its line empty. The lengths of lines are
-then summed over windows of WINDOW lines; text surges where a window rises above SURGE and dives where
-it falls to it, and all lines between a surge and its dive are kept. Where a page marks its article
-(article or main, or an element named as such), lines outside it count as empty; otherwise lines that
-are links alone do.
+reader comments, told by element, role, class or id) leaves its line empty. Where a page marks its article
+(article or main, or an element named as such), the lines in it are the text. Any other page is cut by
+its distribution: lengths, without what is in links, are summed over windows of WINDOW lines, in which
+two boundaries of layout elements between texts make a gap. Text surges where a window rises above SURGE
+and dives where it falls to nothing; lines from the first surge, or the heading above it, to the
+dive after the last surge are kept. A page without a surge has no long text to tell from others and
+keeps all lines but those of links alone.
 
 Edge cases: null or empty html, html without text, and pages of boilerplate alone give the empty
 string; unclosed elements end with what holds them; text of any length is one linear pass; repeated rows are
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import arrow_map
 
-WINDOW, SURGE = 3, 0
+#: Lines in a window, and the letters above which its sum is a surge.
+WINDOW, SURGE = 3, 86
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -39,6 +43,9 @@ _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "emb
 _BLOCKS = set(
     "address article blockquote body caption center dd details dir div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 ) | _DROPPED
+#: Blocks that lay out a page; between others (paragraphs, lists, cells) text isn't parted.
+_LAYOUT = {"address", "body", "center", "details", "dir", "div", "fieldset", "figure", "hr", "html", "main", "article", "section"} | _DROPPED
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _SPACE = re.compile(r"\s+")
 #: Elements that a start of the same kind, or a block, ends.
 _CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
@@ -56,9 +63,17 @@ def _named(name: str, attributes: str) -> tuple[bool, bool]:
     return noise, article
 
 
-def lines(page: str) -> list[tuple[str, bool]]:
-    """The text of each block in page order, boilerplate empty, and whether it stands in a marked article."""
-    out: list[tuple[str, bool]] = []
+class Line(NamedTuple):
+    text: str  # empty for boilerplate
+    inside: bool  # a marked article
+    own: int  # letters that aren't in links
+    heading: str  # the heading element that it stands in, or nothing
+    gap: bool  # ended by the boundary of a layout element
+
+
+def lines(page: str) -> list[Line]:
+    """The text of each block in page order."""
+    out: list[Line] = []
     open_: list[tuple[str, bool, bool]] = []  # name, noise, article
     noise = article = links = linked = size = 0
     held: list[str] = []
@@ -69,11 +84,13 @@ def lines(page: str) -> list[tuple[str, bool]]:
         n = len(text.strip())
         linked, size = linked + (n if links else 0), size + n
 
-    def end_block() -> None:
+    def end_block(by: str = "") -> None:
         nonlocal linked, size
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip() if held else ""
         # Outside a marked article, a line of links alone is a menu.
-        out.append(("" if not article and linked and linked == size else text, article > 0))
+        text = "" if not article and linked and linked == size else text
+        heading = next((x[0] for x in open_ if x[0] in _HEADINGS), "") if text else ""
+        out.append(Line(text, article > 0, max(0, len(text) - linked), heading, by in _LAYOUT))
         held.clear()
         linked = size = 0
 
@@ -104,7 +121,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
         if m.group(2):
             if any(x[0] == name for x in open_):
                 if name in _BLOCKS:
-                    end_block()
+                    end_block(name)
                 while True:
                     top = open_[-1][0]
                     shut()
@@ -116,7 +133,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
                 held.append(" ")
             continue
         if name in _BLOCKS:
-            end_block()
+            end_block(name)
             close("p")
             if name in _CLOSES_ITSELF and name != "p":
                 close(name)
@@ -134,7 +151,7 @@ def lines(page: str) -> list[tuple[str, bool]]:
     return out
 
 
-def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+def stretches(sizes: list[int], window: int = WINDOW, surge: int = 0) -> list[tuple[int, int]]:
     """[start, end) of the lines between each surge and its dive."""
     sums, total = [], 0
     for i, n in enumerate(sizes):
@@ -152,14 +169,39 @@ def stretches(sizes: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
     return found
 
 
+def body(blocks: list[Line]) -> list[Line]:
+    """The lines of a page without a marked article from its first surge to the dive after its last one."""
+    at, sizes = [], []  # the block of each place of the distribution
+    for k, x in enumerate(blocks):
+        if x.text:
+            at.append(k)
+            sizes.append(x.own)
+        if x.gap:
+            at += [k] * (WINDOW - 1)
+            sizes += [0] * (WINDOW - 1)
+    surges = stretches(sizes, WINDOW, SURGE)
+    if not surges:
+        return blocks
+    start = at[max(0, surges[0][0] - WINDOW + 1)]
+    dive = next(b for a, b in stretches(sizes) if a <= surges[-1][0] < b)
+    end = at[dive - 1] + 1
+    # The heading above: the nearest h1, or else the nearest headings that stand together.
+    above = [k for k in range(start + 1) if blocks[k].heading]
+    first = max((k for k in above if blocks[k].heading == "h1"), default=None)
+    if first is None and above:
+        for k in range(above[-1], -1, -1):
+            if blocks[k].text and not blocks[k].heading:
+                break
+            first = k
+    return blocks[start if first is None else min(start, first) : end]
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     blocks = lines(page)
-    marked = any(inside and text for text, inside in blocks)
-    texts = [text if inside or not marked else "" for text, inside in blocks]
-    sizes = [len(t) for t in texts]
-    return "\n\n".join(t for a, b in stretches(sizes) for t in texts[a:b] if t)
+    inside = [x for x in blocks if x.inside and x.text]
+    return "\n\n".join(x.text for x in inside or body(blocks) if x.text)
 
 
 def _batch(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -34,6 +34,21 @@ def test_stretches():
     assert html_text.stretches([], window=3) == [] and html_text.stretches([0, 0], window=3) == []
 
 
+LONG = "This paragraph is long enough to be told from menus and notices by its length alone, as the text of an article is. "
+
+
+def test_pages_without_a_marked_article_by_their_distribution():
+    menu, foot = "<div><p>Home</p><p>News</p><p>Contact us</p></div>", "<div><p>Imprint</p><p>Example Ltd 2020</p></div>"
+    inner = f"<div><h1>Title</h1><p>by A. Writer</p><p>{LONG}</p><p>Short one.</p><ul><li>one</li><li>two</li></ul><p>{LONG}</p><table><tr><td>cell</td></tr></table><p>End.</p></div>"
+    long = LONG.strip()
+    assert main_text(f"<body>{menu}{inner}{foot}</body>") == "\n\n".join(["Title", "by A. Writer", long, "Short one.", "one", "two", long, "cell", "End."])
+    # A menu in the same block, text that is mostly links, and a page without long text, which keeps all.
+    assert main_text(f"<body><p>Home</p><p>News</p><p>Sport</p><p>Today</p><p>{LONG}</p></body>") == f"Sport\n\nToday\n\n{long}"
+    links = "<div>" + " | ".join(f"<a href=x>{LONG}</a>" for _ in range(3)) + "</div>"
+    assert main_text(f"<body>{links}<div><p>{LONG}</p></div>{links}</body>") == long
+    assert main_text(f"<body>{menu}</body>") == "Home\n\nNews\n\nContact us"
+
+
 def test_broken_markup():
     assert main_text("<p>a<p>b</div></span>c") == "a\n\nbc" and main_text("a < b and <i>c") == "a < b and c"
     assert main_text("<script>never closed <p>x") == "" and main_text("<!-- open <p>x") == ""
