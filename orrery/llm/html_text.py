@@ -32,11 +32,16 @@ WINDOW, SURGE = 3, 86
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Words that tell boilerplate anywhere in a class or id, and such as also name layouts and subjects: those must be the whole class, or follow a word of place.
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|aside|widget|footer|header|masthead|cookies?|consent|notice|gdpr|popup|modal|"
-    r"newsletter|subscribe|share|sharing|social|related|recommended|comments?|comment-list|disqus|respond|replies|pagination|pager|login|signup|search|toolbar|skip|copyright|legal)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|navbar|navigation|breadcrumbs?|cookies?|gdpr|popup|newsletter|subscribe|"
+    r"comments?|comment-list|disqus|pagination|pager)(?=$|[\s_-])"
+    r"|(?:^|\s)(?:(?:site|global|main|top|bottom|left|right|primary|secondary|page|blog)[_-])?(?:nav|menu|sidebar|aside|widget|footer|header|masthead|banner|promo(?:tion)?|consent|notice|modal|share|sharing|social|related|"
+    r"recommended|respond|replies|login|signup|search|toolbar|skip|copyright|legal)"
+    r"(?:[_-](?:links?|buttons?|icons?|posts|articles|form|box|bar|menu|nav|area|widgets?|list|items?))?(?=$|\s)",
     re.I,
 )
+_READERS = re.compile(r"(?:(?:user|reader|post|site|blog)[_-])?comments?(?:[_-](?:list|area|section|thread))?|disqus(?:[_-]thread)?|respond|replies", re.I)
 _NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "title", "label", "input", "option", "audio", "video", "canvas", "figure-ad"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -51,16 +56,15 @@ _SPACE = re.compile(r"\s+")
 _CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def _named(name: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is noise, and whether it is marked as the article."""
+def _named(name: str, attributes: str) -> tuple[bool, bool, str]:
+    """Whether an element is noise, whether it is marked as the article, and the class and id if only they say that it is noise."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
     role = found.get("role", "").lower()
     names = f"{found.get('class', '')} {found.get('id', '')}"
     article = name in ("article", "main") or role in ("article", "main") or "articlebody" in names.lower()
     noise = name in _DROPPED or role in _NOISE_ROLES or "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if not noise and not article and name not in ("body", "html"):
-        noise = bool(_NOISE.search(names))
-    return noise, article
+    told = not noise and not article and name not in ("body", "html") and _NOISE.search(names)
+    return noise, article, names if told else ""
 
 
 class Line(NamedTuple):
@@ -69,12 +73,16 @@ class Line(NamedTuple):
     own: int  # letters that aren't in links
     heading: str  # the heading element that it stands in, or nothing
     gap: bool  # ended by the boundary of a layout element
+    named: int  # the innermost element that its class or id tells as noise, or -1
+    home: int  # the same of the article that it stands in
 
 
 def lines(page: str) -> list[Line]:
     """The text of each block in page order."""
     out: list[Line] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, noise, article
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, noise, article, named
+    named: list[tuple[int, str]] = []  # of elements that class or id tell as noise: the one around, the names
+    within, homes = [-1], [-1]  # open ones of them, and where the open articles stand
     noise = article = links = linked = size = 0
     held: list[str] = []
 
@@ -90,13 +98,19 @@ def lines(page: str) -> list[Line]:
         # Outside a marked article, a line of links alone is a menu.
         text = "" if not article and linked and linked == size else text
         heading = next((x[0] for x in open_ if x[0] in _HEADINGS), "") if text else ""
-        out.append(Line(text, article > 0, max(0, len(text) - linked), heading, by in _LAYOUT))
+        out.append(Line(text, article > 0, max(0, len(text) - linked), heading, by in _LAYOUT, within[-1], homes[-1]))
         held.clear()
         linked = size = 0
 
     def shut() -> None:
         nonlocal noise, article, links
-        name, n, a = open_.pop()
+        if open_[-1][3]:
+            if held:
+                end_block()
+            within.pop()
+        name, n, a, _ = open_.pop()
+        if a:
+            homes.pop()
         noise, article, links = noise - n, article - a, links - (name == "a")
 
     def close(kind: str) -> None:
@@ -139,16 +153,60 @@ def lines(page: str) -> list[Line]:
                 close(name)
         if name in _VOID or m.group(4).endswith("/"):
             continue
-        is_noise, is_article = _named(name, m.group(4))
-        if name in _DROPPED or is_noise:
+        is_noise, is_article, names = _named(name, m.group(4))
+        if name in _DROPPED or is_noise or names:
             if name not in _BLOCKS:
                 end_block()
-        open_.append((name, is_noise, is_article))
+        open_.append((name, is_noise, is_article, bool(names)))
+        if names:
+            named.append((within[-1], names))
+            within.append(len(named) - 1)
+        if is_article:
+            homes.append(within[-1])
         noise, article, links = noise + is_noise, article + is_article, links + (name == "a")
     if last < len(page) and not noise:
         hold(page[last:])
     end_block()
-    return out
+    return _without_named(out, named) if named else out
+
+
+def _without_named(rows: list[Line], named: list[tuple[int, str]]) -> list[Line]:
+    """rows with empty lines for the elements that class or id tell as noise. One that holds most of the
+    page's text, or a marked article, is no noise; but where there is an article outside them, those
+    of reader comments, and those whose whole class is such a word (related, sidebar), stay noise with theirs."""
+    n = len(named)
+    own, marked, free, total = [0] * n, [0] * n, 0, 0
+    for x in rows:
+        total += x.own
+        if x.named >= 0:
+            own[x.named] += x.own
+        if x.inside and x.text and x.home == x.named:
+            if x.home < 0:
+                free += len(x.text)
+            else:
+                marked[x.home] += len(x.text)
+    direct = list(marked)
+    for k in range(n - 1, -1, -1):  # what stands around comes first
+        if (up := named[k][0]) >= 0:
+            own[up] += own[k]
+            marked[up] += marked[k]
+    readers = [any(map(_READERS.fullmatch, names.split())) for _, names in named]
+    whole = [any(map(_NOISE.fullmatch, names.split())) for _, names in named]
+    stays = [not readers[k] and (own[k] > SURGE and 2 * own[k] > total or marked[k] > 0 and not whole[k]) for k in range(n)]
+
+    def walls() -> list[int]:
+        """How many elements around each one, itself included, are noise."""
+        out: list[int] = []
+        for k, (up, _) in enumerate(named):
+            out.append((out[up] if up >= 0 else 0) + (not stays[k]))
+        return out
+
+    around = walls()
+    least = 0 if free else min((around[k] for k in range(n) if direct[k]), default=0)
+    if least:  # no article is outside of noise: the outermost are let through
+        stays = [stays[k] or marked[k] > 0 and around[k] <= least for k in range(n)]
+        around = walls()
+    return [x if x.named < 0 or not around[x.named] else x._replace(text="", own=0, heading="") for x in rows]
 
 
 def stretches(sizes: list[int], window: int = WINDOW, surge: int = 0) -> list[tuple[int, int]]:

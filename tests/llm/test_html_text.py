@@ -49,6 +49,16 @@ def test_pages_without_a_marked_article_by_their_distribution():
     assert main_text(f"<body>{menu}</body>") == "Home\n\nNews\n\nContact us"
 
 
+def test_class_words_drop_no_article_and_no_main_text():
+    for name in ("class='page-with-sidebar'", "class='layout no-sidebar'", "id='social-science'", "class='sidebar'", "class='x ads-enabled'", "class='with-comments'"):
+        assert main_text(f"<div>x</div><div {name}><article><p>a</p></article></div>") == "a", name
+        assert main_text(f"<div {name}><div class=ads>buy</div><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG.strip()}\n\n{LONG.strip()}", name
+    readers = f"<div class=comments><article><p>{LONG}</p></article></div>"
+    assert main_text(f"<div class=sidebar><article><p>a</p></article>{readers}</div>") == "a"
+    assert main_text(f"<article><p>a</p></article>{readers}<div class='share-wide'><article>b</article></div>") == "a\n\nb"
+    assert main_text("<p>a <span class=ad>buy</span> b</p>") == "a\n\nb"
+
+
 def test_broken_markup():
     assert main_text("<p>a<p>b</div></span>c") == "a\n\nbc" and main_text("a < b and <i>c") == "a < b and c"
     assert main_text("<script>never closed <p>x") == "" and main_text("<!-- open <p>x") == ""
