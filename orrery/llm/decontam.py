@@ -14,6 +14,7 @@ result; other columns of either input are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -202,13 +203,35 @@ def _without(text: str, spans: list[list[int]]) -> str:
     return b"".join([*out, raw[last:]]).decode()
 
 
+def _span_cutter(drop_share: float):
+    """Cuts the spans that all blocks together found, which are the last column."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out, keep = [], []
+        for t, spans in zip(b.column("text").to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            hit = sum(e - s for s, e in spans or ())
+            keep.append(not spans or hit < drop_share * len(words_of(t)))
+            out.append(_without(t, spans) if spans and keep[-1] else t)
+        names = b.schema.names[:-1]
+        cols = [pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names]
+        return pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
+
+    return run
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, drop_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with benchmark windows cut out of the text; a document of which drop_share of the words are
-    hit goes altogether. Other columns stay as they are."""
-    for part in blocks(items.select("item_id", "text").distinct(), block_bytes):
-        windows = Windows([(r[0], r[1]) for r in part.collect()])
-        docs = arrow_map(docs, _cutter(windows, drop_share), docs.schema)
-    return docs
+    hit goes altogether. Other columns stay as they are. Of a benchmark of several blocks, the spans of
+    all are found on the whole text and put together by row before anything is cut."""
+    items = items.select("item_id", "text").distinct()
+    if len(blocks(items, block_bytes)) == 1:
+        windows = Windows([(r[0], r[1]) for r in items.collect()])
+        return arrow_map(docs, _cutter(windows, drop_share), docs.schema)
+    key, spans = (f"_{x}_{uuid.uuid4().hex}" for x in ("row", "spans"))
+    rows = cut(docs.withColumn(key, F.uuid()), "decontaminate")
+    found = scan(rows.select(F.col(key).alias("row_key"), F.lit(None).cast("long").alias("doc_id"), "text"), items, block_bytes)
+    found = found.where(F.size("spans") > 0).select(F.col("row_key").alias(key), F.col("spans").alias(spans))
+    return arrow_map(rows.join(found, key, "left").select(*docs.columns, spans), _span_cutter(drop_share), docs.schema)
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]]) -> list[tuple]:

@@ -34,6 +34,22 @@ def test_removes_what_it_finds(spark, documents, sf):
     assert set(before) - set(after) <= touched
 
 
+def test_blocks_cut_as_one(spark, documents, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    cut = lambda docs, items, size: rows(decontam.decontaminate(docs, items, block_bytes=size).select("doc_id", "text"))
+    assert cut(documents, items, 3000) == cut(documents, items, 16 << 20)
+    # Windows of several items overlap in a text, and two items hit 30 % of another each.
+    words = [f"w{i}" for i in range(40)]
+    items = spark.createDataFrame([(k, " ".join(words[k : k + 12])) for k in range(0, 28, 4)] + [(100, "a1 a2 a3"), (101, "b1 b2 b3")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x y " * 30 + " ".join(words) + " z"), (2, "a1 a2 a3 c d b1 b2 b3 e f"), (2, "a1 a2 a3 c d b1 b2 b3 e f"), (3, "x"), (None, None)], "doc_id long, text string")
+    docs = docs.repartition(1)
+    one = decontam.decontaminate(docs, items)
+    many = decontam.decontaminate(docs, items, block_bytes=20)
+    assert len(decontam.blocks(items, 20)) > 5 and many.columns == docs.columns
+    both = [sorted(((r.doc_id, r.text) for r in x.collect()), key=str) for x in (one, many)]
+    assert both[0] == both[1] == sorted([(1, "x y " * 30 + " " + " ".join(words[36:]) + " z"), (3, "x"), (None, None)], key=str)
+
+
 def test_edge_cases(spark, odd, empty):
     items = spark.createDataFrame([(9, "nine ten eleven")], "item_id long, text string")
     found = decontam.contamination(odd, items).collect()
