@@ -6,9 +6,11 @@ graph, scored in rounds: a pattern's score is the mass of its instances over all
 word in the corpus, an instance's score is its best promoted pattern's. Patterns of high confidence
 (score and number of different instances) are promoted, and the identifier-like tokens (with a digit
 or an at sign) that follow them are found as kind "context"; they count as instances in the next round.
+Scores only rise; rounds end when no pattern was promoted and none could be with its instances at score 1.
 
 A pattern's score can't exceed all its identifier-like instances over its occurrences, so words that
-precede anything, such as articles, are pruned before the first round.
+precede anything, such as articles, are pruned before the first round. Words that precede no seed stay:
+they may be promoted by what others found.
 
 Edge cases: null and empty texts have no spans; matches that fail their check (parts of an ip, digits
 or Luhn sum of a card, digits of a phone) are dropped; spans of different kinds may overlap and all
@@ -35,7 +37,9 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: White-space tokens with a digit or an at sign.
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
-ROUNDS, LEAST_SCORE, LEAST_INSTANCES = 3, 0.5, 3
+LEAST_SCORE, LEAST_INSTANCES = 0.5, 3
+#: The rise of all scores in a round below which they count as settled.
+SETTLED = 1e-6
 #: Patterns that are sent to every task to count their words; beyond it, words are counted first and joined.
 BROADCAST_PATTERNS = 200_000
 
@@ -128,30 +132,37 @@ def learn(docs: DataFrame, found: DataFrame) -> DataFrame | None:
     seeds = found.select(F.explode("seeds").alias("x")).select("x.left", "x.form").where("left <> ''")
     tokens = found.select(F.explode("tokens").alias("x")).select("x.left", "x.form").where("left <> ''")
     forms = seeds.select("form").distinct().withColumn("seed", F.lit(1.0))
-    edges = seeds.withColumn("own", F.lit(1)).unionByName(tokens.withColumn("own", F.lit(0)))
-    edges = cut(edges.groupBy("left", "form").agg(F.count("*").alias("n"), F.max("own").alias("own")), "edges")
-    # Only patterns with a seed and enough different instances can be promoted.
-    heads = edges.groupBy("left").agg(F.count("*").alias("forms"), F.sum("n").alias("mass"), F.max("own").alias("own"))
-    heads = cut(heads.where(f"own = 1 and forms >= {LEAST_INSTANCES}").select("left", "mass"), "heads")
-    n = heads.count()
-    if not n:
+    edges = seeds.unionByName(tokens).groupBy("left", "form").agg(F.count("*").alias("n"))
+    edges = cut(edges.join(forms, "form", "left").withColumn("seed", F.coalesce("seed", F.lit(0.0))), "edges")
+    # Only patterns with enough different instances can be promoted, and the first only by seeds.
+    heads = edges.groupBy("left").agg(F.count("*").alias("forms"), F.sum("n").alias("mass"), F.sum("seed").alias("seeds"))
+    heads = cut(heads.where(f"forms >= {LEAST_INSTANCES}").select("left", "mass", "seeds"), "heads")
+    n, first = heads.agg(F.count("*"), F.max("seeds")).first()
+    if not n or first < LEAST_INSTANCES:
         return None
+    heads = heads.drop("seeds")
     if n <= BROADCAST_PATTERNS:
         counts = _words(docs).join(F.broadcast(heads.select("left")), "left", "left_semi").groupBy("left").count()
     else:
         counts = _words(docs).groupBy("left").count().join(heads.select("left"), "left", "left_semi")
     heads = cut(heads.join(counts.withColumnRenamed("count", "occurs"), "left").where(F.col("mass") >= LEAST_SCORE * F.col("occurs")), "likely")
-    edges = cut(edges.join(heads, "left").join(forms, "form", "left").withColumn("seed", F.coalesce("seed", F.lit(0.0))), "graph")
+    edges = cut(edges.join(heads.select("left", "occurs"), "left"), "graph")
     if edges.isEmpty():
         return None
     scores = edges.select("form", "seed").distinct().withColumnRenamed("seed", "score")
-    promoted = None
-    for _ in range(ROUNDS):
+    before, mass = 0, 0.0
+    while True:
         held = edges.join(scores, "form")
         patterns = held.groupBy("left").agg(
-            (F.sum(F.col("n") * F.col("score")) / F.first("occurs")).alias("pattern"), F.sum(F.when(F.col("score") >= LEAST_SCORE, 1).otherwise(0)).alias("instances")
-        )
-        promoted = cut(patterns.where(f"pattern >= {LEAST_SCORE} and instances >= {LEAST_INSTANCES}").select("left", "pattern"), "promoted")
+            (F.sum(F.col("n") * F.col("score")) / F.first("occurs")).alias("pattern"), F.sum(F.when(F.col("score") >= LEAST_SCORE, 1).otherwise(0)).alias("instances"),
+            (F.sum(F.when(F.col("score") > 0, F.col("n")).otherwise(0)) / F.first("occurs")).alias("most"),
+        )
+        likely = cut(patterns.where(f"most >= {LEAST_SCORE} and instances >= {LEAST_INSTANCES}"), "promoted")
+        promoted = likely.where(f"pattern >= {LEAST_SCORE}").select("left", "pattern")
+        could, n, now = likely.agg(F.count("*"), F.count_if(F.col("pattern") >= LEAST_SCORE), F.coalesce(F.sum("pattern"), F.lit(0.0))).first()
+        if n == before and (could == n or now - mass < SETTLED):
+            break
+        before, mass = n, now
         best = edges.join(promoted, "left", "left").groupBy("form").agg(F.max("seed").alias("seed"), F.max("pattern").alias("best"))
         scores = cut(best.select("form", F.greatest("seed", F.least(F.lit(1.0), F.coalesce("best", F.lit(0.0)))).alias("score")), "scores")
     return None if promoted.isEmpty() else promoted.withColumnRenamed("pattern", "score")

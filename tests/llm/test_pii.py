@@ -59,6 +59,15 @@ def test_second_round_learns_from_the_first(spark):
     assert got[20] == "context:9:17" and got[50] == "context:7:15"
 
 
+def test_patterns_without_seeds_and_long_chains(spark):
+    rows = [(i, f"contact: u{i}@mail.com is it") for i in range(4)]
+    for k, w in enumerate(["contact:", "account:", "third:", "fourth:", "fifth:"]):  # mostly what the word before finds, and something new
+        rows += [(100 * k + 20 + i, f"{w} z{j}{i}-host") for i in range(3) for j in [k] * 3 * (k > 0) + [k + 1]]
+    rows += [(1000, "account: qq9-host"), (1001, "fifth: qq8-host"), (1002, "other: qq7-host")]
+    got = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] == "context:9:17" and got[1001] == "context:7:15" and got[1002] == ""
+
+
 def test_mask(spark):
     rows = [(1, "mail a@b.co or +4111 1111 1111 1111 end", "k", 3), (2, None, "k", 3), (3, "é😀 10.0.0.1", None, None)]
     out = {r.doc_id: r for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string, spans string, n int")).collect()}
