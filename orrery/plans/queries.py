@@ -413,7 +413,7 @@ def gra07_nodes_matching(d):
 @query()
 def ml01_watch_svd(d):
     entries = d.watches.select(F.col("repo_id").alias("row"), F.col("user_id").alias("col"), F.lit(1.0).alias("value"))
-    left, s, _ = ml.svd(entries, k=10, rounds=4)
+    left, s, _ = ml.svd(entries, k=50)
     return left.select(F.col("row").alias("repo_id"), F.col("v").alias("svd"))
 
 
@@ -429,14 +429,14 @@ def ml03_keyword_svd(d):
     x = d.descriptions.select("repo_id", F.explode(F.array_distinct(X.tokenize(F.col("description")))).alias("token"))
     df = x.groupBy("token").agg(F.count("*").alias("df")).where("df >= 5")
     ids = property_graph.dense_ids(df.select("token"), ["token"]).withColumnRenamed("id", "row")
-    _, _, right = ml.svd(x.join(ids, "token").select("row", F.col("repo_id").alias("col"), F.lit(1.0).alias("value")), k=10, rounds=3)
+    _, _, right = ml.svd(x.join(ids, "token").select("row", F.col("repo_id").alias("col"), F.lit(1.0).alias("value")), k=100)
     return right.select(F.col("col").alias("repo_id"), F.col("v").alias("svd"))
 
 
 @query()
 def ml04_kmeans(d):
     v = d.vectors.select("repo_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return ml.kmeans(v, "repo_id", k=20, rounds=20)
+    return ml.kmeans(v, "repo_id", k=200)
 
 
 CENT = """c1 AS (SELECT cluster_id, i, sum(embedding[i]::DOUBLE) AS x FROM vectors, range(1, 65) t(i) GROUP BY cluster_id, i),
@@ -525,7 +525,10 @@ for _n, _name in enumerate(cand.SOURCES, 1):
     def _run(d, name=_name):
         more = {}
         if name == "in_cluster_user":
-            more["user_clusters"] = d.watches.select("user_id").distinct().select("user_id", (F.col("user_id") % 50).alias("vec")).join(d.vectors.where("repo_id <= 50").select((F.col("repo_id") - 1).alias("vec"), "embedding"), "vec").select("user_id", (F.col("vec") % 25).alias("cluster_id"), "embedding")
+            v = d.vectors.select("repo_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+            u = graph.written(ml.user_centroids(d.watches, v), "centroids")
+            clusters = ml.assign(u, ml.centroids(v, d.vectors.select("repo_id", "cluster_id"), "repo_id"), "user_id")
+            more["user_clusters"] = clusters.join(u, "user_id").select("user_id", "cluster_id", F.col("v").alias("embedding"))
         out = cand.source(name)(_c(d, **more))
         digits = 9 if name == "probability_propagation" else 6
         nudge = 1e-13 if digits == 9 else 0.0
@@ -787,6 +790,12 @@ def jn07_not_alike(d):
     return cand._not_alike(x, c).select("user_id", "repo_id")
 
 
+@query(f"{SCORED}, {NOT_ALIKE} SELECT user_id, repo_id FROM fine")
+def jn07_not_alike_coocs2(d):
+    """The exclusion over all candidates of a source."""
+    return cand._not_alike(_scored(d).select("user_id", "repo_id"), _c(d)).select("user_id", "repo_id")
+
+
 @query("SELECT user_id, repo_id FROM watches WHERE repo_id IN (SELECT repo_id FROM repos WHERE parent_id IS NOT NULL)")
 def jn08_membership(d):
     return d.watches.join(d.repos.where("parent_id is not null").select("repo_id"), "repo_id", "left_semi").select("user_id", "repo_id")
