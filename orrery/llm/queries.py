@@ -22,6 +22,10 @@ def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(table(spark, sf_dir, "conversations"))
 
 
+def op3_reply_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.threads(quotes.link(table(spark, sf_dir, "conversations")))
+
+
 def op4_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -53,7 +57,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_decontamination, op3_quotation_linking, op4_minmax_neardup, op5_sharding,
+        op1_quality_rules, op2_decontamination, op3_quotation_linking, op3_reply_conversations, op4_minmax_neardup, op5_sharding,
         op6_personal_data, op7_license_scan, op8_token_store, op9_html_extraction, op10_packing,
     )
 }

@@ -8,9 +8,10 @@ so a passage that thousands repeat joins with one row. A passage is looked up wh
 among earlier turns, and linked to the message that most of its text is from, if that is half of it.
 A message answers the source of its shallowest first linked passage, or else the message before it.
 
-A message that answers the one before it continues that one's branch; any other starts a branch. A
-branch's messages in order of pos, after those that its first message answers, are a conversation in
-reply order. Equal rows (conversation, turn, role, text) are one message each with the same answer.
+A message that answers the one before it continues that one's branch; any other starts a branch, so a
+branch is a run of neighbouring turns. threads() puts the runs together: the first answer to a message
+continues its thread, any other starts one, and a thread's messages after all those that its first
+message answers, directly or not, are a conversation in reply order. Equal rows (conversation, turn, role, text) are one message each with the same answer.
 
 The message before is found within blocks of BLOCK turns and from block to block, so that no task
 holds a whole hot conversation.
@@ -119,3 +120,54 @@ def chats(linked: DataFrame) -> DataFrame:
     rows = linked.where("branch is not null").select("conv_id", "branch", segment.alias("segment"), "pos", "turn", said.alias("said")).distinct()
     grouped = rows.groupBy("conv_id", "branch", "segment").agg(F.count("*").alias("n_messages"), F.array_sort(F.collect_list(F.struct("pos", "said"))).alias("x"))
     return grouped.select("conv_id", "branch", "segment", "n_messages", F.concat_ws("", "x.said").alias("text"))
+
+
+def _threads(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """conv_id, turn, thread, place of every turn (conv_id, turn, parent_turn, branch, pos), and conv_id,
+    thread, above, upto: the threads that stand above each one, and how many of their places do."""
+    runs = turns.groupBy("conv_id", "branch").agg(F.count("*").alias("size"), F.min_by("parent_turn", "pos").alias("parent"))
+    at = turns.select("conv_id", F.col("turn").alias("parent"), F.col("branch").alias("up"), F.col("pos").alias("k"))
+    sizes = runs.select("conv_id", F.col("branch").alias("up"), F.col("size").alias("up_size"))
+    runs = cut(runs.join(at, ["conv_id", "parent"], "left").join(sizes, ["conv_id", "up"], "left"), "runs")
+    # The end of a run has its first answer in the first run that starts from it.
+    first = runs.where("k = up_size - 1").groupBy("conv_id", "parent").agg(F.min("branch").alias("branch")).withColumn("goes_on", F.lit(True))
+    runs = cut(runs.join(first, ["conv_id", "parent", "branch"], "left"), "runs")
+    heads = runs.select("conv_id", "branch", F.when(F.col("goes_on"), F.col("up")).otherwise(F.col("branch")).alias("head"), F.when(F.col("goes_on"), F.col("up_size")).otherwise(F.lit(0)).alias("ahead"))
+    while True:  # paths double in each round
+        heads = cut(heads, "heads")
+        above = heads.select("conv_id", F.col("branch").alias("head"), F.col("head").alias("top"), F.col("ahead").alias("more"))
+        if heads.join(above, ["conv_id", "head"]).where("top <> head").isEmpty():
+            break
+        heads = heads.join(above, ["conv_id", "head"]).select("conv_id", "branch", F.col("top").alias("head"), (F.col("ahead") + F.col("more")).alias("ahead"))
+    places = turns.join(heads, ["conv_id", "branch"]).select("conv_id", "turn", F.col("head").alias("thread"), (F.col("pos") + F.col("ahead")).alias("place"))
+    places = cut(places, "places")
+    starts = runs.where("goes_on is null and parent is not null").select("conv_id", F.col("branch").alias("thread"), F.col("parent").alias("turn"))
+    jump = starts.join(places.select("conv_id", "turn", F.col("thread").alias("above"), (F.col("place") + 1).alias("upto")), ["conv_id", "turn"]).select("conv_id", "thread", "above", "upto")
+    paths = jump = cut(jump, "paths")
+    while True:
+        over = jump.select("conv_id", "thread", F.col("above").alias("mid"))
+        onward = lambda x: over.join(x.withColumnRenamed("thread", "mid"), ["conv_id", "mid"]).select("conv_id", "thread", "above", "upto")  # noqa: B023, E731
+        more, jump = cut(onward(paths), "paths"), cut(onward(jump), "jumps")
+        if more.isEmpty():
+            return places, paths
+        paths = paths.unionByName(more)
+
+
+def threads(linked: DataFrame) -> DataFrame:
+    """conv_id, thread, segment, n_messages, n_above, text: a conversation in reply order for each thread,
+    all that it answers first (n_above of the messages), in segments of at most MESSAGES_IN_SEGMENT
+    places. A message without turn or conversation is a conversation of its own, with thread null."""
+    said = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("text"), F.lit("\n"))
+    linked = cut(linked.select("conv_id", "turn", "parent_turn", "branch", "pos", said.alias("said")).distinct(), "linked")
+    places, paths = _threads(linked.where("branch is not null").select("conv_id", "turn", "parent_turn", "branch", "pos").distinct())
+    depth = cut(paths.groupBy("conv_id", "thread").agg(F.sum("upto").alias("depth")), "depth")
+    placed = places.join(depth, ["conv_id", "thread"], "left").withColumn("at", F.coalesce("depth", F.lit(0)) + F.col("place"))
+    placed = cut(placed.select("conv_id", "turn", "thread", "place", "at"), "placed")
+    above = paths.join(placed.withColumnRenamed("thread", "above"), ["conv_id", "above"]).where("place < upto")
+    rows = placed.select("conv_id", "thread", "turn", "at", F.lit(0).alias("over")).unionByName(above.select("conv_id", "thread", "turn", "at", F.lit(1).alias("over")))
+    rows = rows.join(linked.where("branch is not null").select("conv_id", "turn", "said"), ["conv_id", "turn"]).withColumn("segment", F.floor(F.col("at") / MESSAGES_IN_SEGMENT))
+    grouped = rows.groupBy("conv_id", "thread", "segment").agg(F.count("*").alias("n_messages"), F.sum("over").alias("n_above"), F.array_sort(F.collect_list(F.struct("at", "said"))).alias("x"))
+    alone = linked.where("branch is null").select(
+        "conv_id", F.lit(None).cast("long").alias("thread"), F.lit(0).cast("long").alias("segment"), F.lit(1).cast("long").alias("n_messages"), F.lit(0).cast("long").alias("n_above"), F.col("said").alias("text")
+    )
+    return grouped.select("conv_id", "thread", "segment", "n_messages", "n_above", F.concat_ws("", "x.said").alias("text")).unionByName(alone)

@@ -56,6 +56,45 @@ def test_levels_introductions_and_branches(spark):
     assert chats[1, 3].n_messages == 3 and ">" not in chats[1, 3].text.replace("|>", "")
 
 
+def test_conversations_in_reply_order(spark):
+    rows = [
+        (1, 0, "user", "Hello there\nHow are you today my friend?"),
+        (1, 1, "assistant", "I am fine."),
+        (1, 2, "user", "> Hello there\n> how are you today my friend?\nGood question"),
+        (1, 3, "assistant", "> I am fine.\n\nok then"),
+        (1, 4, "user", "> Good question\nasked"),
+        (1, 5, "user", "> ok then\nlate"),
+        (2, None, "user", "alone"),
+    ]
+    got = {(r.conv_id, r.thread): r for r in quotes.threads(linked(spark, rows)).collect()}
+    said = lambda k: [x.split("|>")[1].strip() for x in got[k].text.split("<|")[1:]]
+    hello = rows[0][3]
+    assert said((1, 0)) == [hello, "I am fine.", "ok then", "late"] and said((1, 2)) == [hello, "Good question", "asked"]
+    assert len(got) == 3 and said((2, None)) == ["alone"] and got[1, 2].n_above == 1 and got[1, 0].n_above == 0
+
+
+def test_conversations_of_random_trees(spark):
+    rnd, rows, parents = random.Random(8), [], {}
+    for conv in range(3):
+        for turn in range((3, 60, 200)[conv]):
+            parent = turn - 1 if rnd.random() < 0.4 else rnd.randrange(max(0, turn - 9), turn) if turn else None
+            parents[conv, turn] = parent if turn else None
+            rows.append((conv, turn, "user", f"> text of {parent} here\ntext of {turn} here" if turn else "text of 0 here"))
+    thread, seen, expected = {}, set(), {}
+    for (conv, turn), up in parents.items():
+        thread[conv, turn] = thread[conv, up] if up is not None and (conv, up) not in seen else turn
+        seen.add((conv, up))
+        path = [turn]
+        while (above := parents[conv, path[0]]) is not None:
+            path.insert(0, above)
+        expected[conv, thread[conv, turn]] = path
+    found = {}
+    for r in sorted(quotes.threads(linked(spark, rows)).collect(), key=lambda r: (r.conv_id, r.thread, r.segment)):
+        assert r.n_messages <= quotes.MESSAGES_IN_SEGMENT
+        found.setdefault((r.conv_id, r.thread), []).extend(int(x.split()[-2]) for x in r.text.split("<|")[1:])
+    assert found == expected and max(map(len, found.values())) > 20
+
+
 def test_order_over_blocks(spark):
     rows = [(1, t, "user", f"turn {t}" if t != 700 else "> turn 3\nback") for t in range(0, 2000, 3) if t != 699] + [(1, 700, "user", "> turn 3\nback")]
     got = {r.turn: r for r in linked(spark, rows).collect()}
