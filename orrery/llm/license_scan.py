@@ -114,10 +114,24 @@ class Scanner:
                     errors = sum(m.fuzzy_counts)
                     first = flat.count(" ", 0, s)
                     spans.append((first, first + flat.count(" ", s, e) + 1, label, errors, 1 - errors / len(notice)))
-        # Of spans that overlap, one with edits gives way to one with fewer.
-        spans = sorted(set(spans))
-        spans = [s for s in spans if not s[3] or not any(o[3] < s[3] and o[0] < s[1] and s[0] < o[1] for o in spans)]
-        return {"n_words": len(words), "base": sorted(base), "spans": spans}
+        return {"n_words": len(words), "base": sorted(base), "spans": _best(sorted(set(spans)))}
+
+
+def _best(spans: list[tuple]) -> list[tuple]:
+    """spans (sorted) without those with edits that lie within a span, at least as long, that has fewer."""
+    out = []
+    ends: dict[int, int] = {}  # for each number of edits, the furthest end of spans that start here or before
+    i = 0
+    while i < len(spans):
+        j = i
+        while j < len(spans) and spans[j][0] == spans[i][0]:
+            ends[spans[j][3]] = max(ends.get(spans[j][3], 0), spans[j][1])
+            j += 1
+        for s in spans[i:j]:
+            if not any(edits < s[3] and end >= s[1] for edits, end in ends.items()):
+                out.append(s)
+        i = j
+    return out
 
 
 _SCHEMA = (

@@ -48,6 +48,15 @@ def test_edits_within_the_bound_are_found():
     assert s.scan(prose)["spans"] == []
 
 
+def test_longer_notices_stay_beside_exact_shorter_ones():
+    labels = lambda text: {x[2] for x in license_scan.Scanner().scan(f"Work {text} here")["spans"]}
+    assert labels("licensed under a creative commons attribution share alike") == {"cc-by", "cc-by-sa"}
+    assert labels("licensed under the apache license verison 2 0") == {"apache", "apache-2.0"}
+    # A hit with edits inside an exact one still gives way.
+    spans = [(2, 9, "a", 0, 1.0), (2, 9, "b", 2, 0.9), (3, 8, "c", 1, 0.9), (3, 10, "d", 1, 0.9), (8, 9, "e", 0, 1.0)]
+    assert [x[2] for x in license_scan._best(spans)] == ["a", "d", "e"]
+
+
 def test_spans_and_edits_are_reported():
     spans = license_scan.Scanner().scan("Intro words. Relesed undr the MIT Licence!")["spans"]
     assert spans == [(2, 7, "mit", 3, 0.9)]
