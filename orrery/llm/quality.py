@@ -2,9 +2,13 @@
 
 Each rule votes keep (1), reject (0) or abstains (-1) on a document. Votes are counted by vote
 pattern in Spark (the number of patterns is bounded by the rules, not by the documents), and
-expectation-maximisation on those counts estimates how often each rule votes what under either
-hidden class. A document's posterior probability of being good is then the sum of its rules' log
-ratios: a column expression over literals, so nothing grows with the data.
+expectation-maximisation on those counts estimates how often each rule rejects under each hidden
+class: one class is the good documents, the others are kinds of bad ones. Rules are independent within
+a kind, not among all bad documents, since junk of one sort fails the same few rules together. There is
+a kind for each rule to start with, in which that rule mostly rejects; kinds that no documents need
+fade out. So a rule that now and then rejects alone, where its kind fails other rules too, is outvoted.
+Abstaining carries no evidence. A document's posterior probability of being good is then an expression
+over literals, so nothing grows with the data.
 
 Edge cases: null or empty text has no words, all counts 0, base_failed true and kept false; a rule
 without evidence abstains; repeated rows and ties get equal results, row by row; an empty table
@@ -116,64 +120,79 @@ def rules(within: str = "") -> dict[str, Column]:
     letters = c("n_upper") + c("n_lower")
     some = n >= 10
     return {
-        "symbols": _vote(10 * c("n_symbols") > n, some & (100 * c("n_symbols") <= n)),
-        "symbol_density": _vote(some & (33 * c("n_symbols") > c("word_chars")), some & (300 * c("n_symbols") <= c("word_chars"))),
+        "symbols": _vote((10 * c("n_symbols") > n) | (some & (33 * c("n_symbols") > c("word_chars"))), some & (100 * c("n_symbols") <= n)),
         "capitals": _vote((letters >= 20) & (2 * c("n_upper") > letters), (letters >= 20) & (4 * c("n_upper") <= letters)),
         "repeated_windows": _vote(100 * c("n_repeat_words") > 20 * n, some & (100 * c("n_repeat_words") <= 5 * n)),
-        "repeated_lines": _vote((c("n_dup_lines") >= 2) & (10 * c("n_dup_lines") > 3 * c("n_lines")), (c("n_lines") >= 2) & (10 * c("n_dup_lines") <= c("n_lines"))),
+        "repeated_lines": _vote((c("n_dup_lines") >= 1) & (10 * c("n_dup_lines") > c("n_lines")), (c("n_lines") >= 2) & (c("n_dup_lines") == 0)),
         "stuttering": _vote(some & (5 * c("n_same_next") > n), some & (20 * c("n_same_next") <= n)),
         "function_words": _vote((n >= 30) & (100 * c("n_stop") < 2 * n), some & (100 * c("n_stop") >= 8 * n)),
         "shouting": _vote(some & (10 * c("n_marks") > n), some & (c("n_marks") * 100 <= n)),
-        "word_length": _vote(some & ((c("word_chars") < 2 * n) | (c("word_chars") > 14 * n)), some & (c("word_chars") >= 3 * n) & (c("word_chars") <= 11 * n)),
-        "line_ends": _vote((c("n_lines") >= 5) & (10 * c("n_ended") < 2 * c("n_lines")), (c("n_lines") >= 2) & (10 * c("n_ended") >= 6 * c("n_lines"))),
+        "word_length": _vote(some & ((c("word_chars") < 3 * n) | (c("word_chars") > 9 * n)), some & (c("word_chars") >= 4 * n) & (c("word_chars") <= 8 * n)),
+        "line_ends": _vote((c("n_lines") >= 3) & (10 * c("n_ended") < 5 * c("n_lines")), (c("n_lines") >= 2) & (10 * c("n_ended") >= 9 * c("n_lines"))),
     }
 
 
-#: A rule that fires is assumed to be right more often than not: of good documents at most this share is rejected, of bad ones at least that share.
-MOST_GOOD_REJECTED, LEAST_BAD_REJECTED = 0.03, 0.10
+#: Votes that a rule is taken to have had before any was seen, (reject, keep): on good documents, and on bad ones of a kind.
+GOOD_PRIOR, BAD_PRIOR = (1, 19), (1, 3)
+#: Documents that are taken to have been seen before any was: good ones, and bad ones of all kinds.
+SHARE_PRIOR = (4, 1)
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """EM for a label model on vote patterns; abstaining says nothing of the class.
+def fit_kinds(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """EM for a label model on vote patterns and their counts: the share of each class, the good one last,
+    and rejects[class, rule], the chance that a rule which votes on a document of the class rejects it.
 
-    Returns the share of good documents and rejects[class, rule], the chance that a rule which votes
-    on a document of the class (0 bad, 1 good) rejects it. The two bounds above keep the classes from
-    swapping and a rule that hardly ever fires from losing its weight.
+    The priors are proper, so no rate is 0 or 1 and none needs a bound. Kinds of bad documents that hold
+    less than one document go, but for the largest.
     """
-    rejects = np.array([[0.3] * n_rules, [0.01] * n_rules])
+    rejects = np.full((n_rules + 1, n_rules), 0.05)
+    rejects[np.arange(n_rules), np.arange(n_rules)] = 0.8
+    rejects[-1] = 0.01
+    priors = np.array([BAD_PRIOR] * n_rules + [GOOD_PRIOR], float)
+    ahead = np.array([SHARE_PRIOR[1] / n_rules] * n_rules + [SHARE_PRIOR[0]])
+    shares = ahead / ahead.sum()
     if not patterns:
-        return 0.5, rejects
+        return shares, rejects
     votes = np.array([p for p, _ in patterns])
     n = np.array([c for _, c in patterns], float)
-    no, yes = votes == 0, votes == 1
-    share, good = 0.8, None
+    no, yes = (votes == 0).astype(float), (votes == 1).astype(float)
     for _ in range(rounds):
-        ratio = math.log(share / (1 - share)) + no @ np.log(rejects[1] / rejects[0]) + yes @ np.log((1 - rejects[1]) / (1 - rejects[0]))
-        new = 1 / (1 + np.exp(-np.clip(ratio, -50, 50)))
-        if good is not None and np.abs(new - good).max() < 1e-9:
+        likely = np.log(shares) + no @ np.log(rejects.T) + yes @ np.log(1 - rejects.T)
+        held = np.exp(likely - likely.max(1, keepdims=True))
+        held *= (n / held.sum(1))[:, None]
+        shares = (held.sum(0) + ahead) / (n.sum() + ahead.sum())
+        new = (held.T @ no + priors[:, :1]) / (held.T @ (no + yes) + priors.sum(1, keepdims=True))
+        moved, rejects = np.abs(new - rejects).max(), new
+        if moved < 1e-9:
             break
-        good = new
-        share = float(np.clip(((n * good).sum() + 4) / (n.sum() + 5), 0.05, 0.95))
-        for c, w in ((0, n * (1 - good)), (1, n * good)):
-            prior = (3, 7) if c == 0 else (0.1, 9.9)
-            rejects[c] = (w @ no + prior[0]) / (w @ (no | yes) + sum(prior))
-        rejects = np.stack([np.clip(rejects[0], LEAST_BAD_REJECTED, 0.95), np.clip(rejects[1], 1e-4, MOST_GOOD_REJECTED)])
-    return share, rejects
+    stays = held.sum(0) >= 1
+    stays[-1] = stays[np.argmax(shares[:-1])] = True
+    return shares[stays] / shares[stays].sum(), rejects[stays]
 
 
-def learn(voted: DataFrame) -> tuple[float, np.ndarray]:
-    """fit() on the votes of a table with n_words and the vote_ columns."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, np.ndarray]:
+    """fit_kinds() in two classes: the share of good documents, and rejects[class, rule] of bad (0) and good (1) ones."""
+    shares, rejects = fit_kinds(patterns, n_rules)
+    return float(shares[-1]), np.stack([shares[:-1] @ rejects[:-1] / shares[:-1].sum(), rejects[-1]])
+
+
+def learn(voted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """fit_kinds() on the votes of a table with n_words and the vote_ columns."""
     cols = [f"vote_{k}" for k in rules()]
     # At most 3 ** rules rows, whatever the corpus; one counted row for each pattern of votes.
     counts = voted.where("n_words > 0").groupBy(*cols).count().orderBy(*cols).collect()
-    return fit([(tuple(r[c] for c in cols), r["count"]) for r in counts], len(cols))
-
-
-def _posterior(votes: list[Column], share: float, rejects: np.ndarray) -> Column:
-    log = F.lit(math.log(share / (1 - share)))
-    for vote, bad, good in zip(votes, *rejects):
-        log = log + F.when(vote == 0, math.log(good / bad)).when(vote == 1, math.log((1 - good) / (1 - bad))).otherwise(0.0)
-    return 1 / (1 + F.exp(-log))
+    return fit_kinds([(tuple(r[c] for c in cols), r["count"]) for r in counts], len(cols))
+
+
+def _posterior(votes: list[Column], shares: np.ndarray, rejects: np.ndarray) -> Column:
+    """1 / (1 + the sum over the kinds of bad documents of how much likelier the votes are under them)."""
+    against = F.lit(0.0)
+    for share, kind in zip(shares[:-1], rejects[:-1]):
+        log = F.lit(math.log(share / shares[-1]))
+        for vote, bad, good in zip(votes, kind, rejects[-1]):
+            log = log + F.when(vote == 0, math.log(bad / good)).when(vote == 1, math.log((1 - bad) / (1 - good))).otherwise(0.0)
+        against = against + F.exp(log)
+    return 1 / (1 + against)
 
 
 def _failed(within: str = "") -> Column:

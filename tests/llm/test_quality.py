@@ -1,3 +1,6 @@
+import collections
+import math
+import random
 import re
 
 from orrery.llm import quality
@@ -58,6 +61,48 @@ def test_em_finds_the_rules_that_are_right():
     assert abs(rejects[0, 0] - 0.9) < 0.08 and abs(rejects[0, 2] - 0.4) < 0.1 and (rejects[1] <= 0.03).all()
 
 
+def posterior(votes, shares, rejects):
+    like = [s * math.prod(r if x == 0 else 1 - r if x == 1 else 1 for x, r in zip(votes, kind)) for s, kind in zip(shares, rejects)]
+    return like[-1] / sum(like)
+
+
+def test_posterior_differs_from_any_reject_both_ways():
+    """Most documents are bad, of two kinds; the third rule rejects good ones by mistake, and some bad ones get no reject vote."""
+    rnd, rows = random.Random(2), []
+    rates = ([0.95, 0.9, 0.3, 0.02, 0.02], [0.02, 0.02, 0.3, 0.9, 0.95], [0.01, 0.01, 0.2, 0.01, 0.01])
+    for _ in range(30_000):
+        kind = rnd.choices((0, 1, 2), (0.35, 0.35, 0.3))[0]
+        votes = tuple(-1 if rnd.random() < 0.5 else int(rnd.random() > p) for p in rates[kind])
+        rows.append((votes, kind == 2))
+    counts = collections.Counter(v for v, _ in rows)
+    model = quality.fit_kinds(sorted(counts.items()), 5)
+    kept = {v: posterior(v, *model) >= 0.5 for v in counts}
+    assert any(kept[v] and 0 in v for v in counts) and any(not kept[v] and 0 not in v for v in counts)
+    right = sum(kept[v] == good for v, good in rows)
+    by_any = sum((0 not in v) == good for v, good in rows)
+    assert right > by_any + 0.02 * len(rows)
+
+
+def test_posterior_column_is_bayes_rule_on_the_fitted_rates(documents):
+    voted = quality._voted(documents)
+    model = quality.learn(voted)
+    for r in quality.quality_scores(documents).collect():
+        votes = [r[f"vote_{k}"] for k in quality.rules()]
+        assert abs(r.posterior - posterior(votes, *model)) < 1e-9
+        assert r.kept == (not r.base_failed and r.posterior >= 0.5)
+
+
+def test_one_mistaken_rule_is_outvoted(spark):
+    """Good documents that a lenient rule alone rejects stay; judged by any reject vote they would go."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    rows = [r for r in quality.quality_scores(docs).collect() if r.doc_id in labels and not r.base_failed]
+    any_reject = {r.doc_id: any(r[f"vote_{k}"] == 0 for k in quality.rules()) for r in rows}
+    assert any(r.kept and any_reject[r.doc_id] for r in rows)
+    right = sum(r.kept == bool(labels[r.doc_id]) for r in rows)
+    assert right > sum(any_reject[r.doc_id] != bool(labels[r.doc_id]) for r in rows)
+
+
 def test_edge_cases(odd, empty):
     rows = quality.quality_scores(odd).collect()
     assert len(rows) == odd.count()
