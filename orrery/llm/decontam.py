@@ -1,6 +1,6 @@
 """Benchmark decontamination: hashed test n-grams, scanned over whole training texts, verified word by word.
 
-The benchmark's windows are hashed and sent to every task, in blocks of a bounded size: a benchmark
+The benchmark's windows are hashed and broadcast, in blocks of a bounded size: a benchmark
 of more windows than one block holds is scanned block by block, and what the blocks found is put
 together by document. A window is 10 consecutive words (ASCII letters lower-cased, words are runs of
 digits, letters and anything beyond ASCII); an item of 1 to 9 words is one window.
@@ -15,17 +15,19 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_map, cut
+from orrery.llm.common import arrow_map, claim, cut
 
 WIDTH = 10
-#: UTF-8 bytes of benchmark text in one block, and so the bound on what is broadcast at once.
+#: UTF-8 bytes of benchmark text in one block; what is broadcast at once is at most nine times that, and 8 MB.
 BLOCK_BYTES = 16 << 20
 
 _SEPARATORS = bytes(i for i in range(128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122))
@@ -48,65 +50,119 @@ def _rolled(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class Windows:
-    """The hashed windows of benchmark items, with what is needed to verify a hit."""
+#: Words that a worker remembers the hash of.
+CACHE = 200_000
+_hashes: dict[bytes, int] = {}
+
+
+def _values(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    if len(claim("decontamination words", _hashes)) > CACHE:
+        _hashes.clear()
+    for w in set(words).difference(_hashes):
+        _hashes[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+_FILTER = 22
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _FILTER, bool)
+    out[values >> np.uint64(64 - _FILTER)] = True
+    return out
+
 
-    def __init__(self, items: list[tuple[object, str | None]]):
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, text in items:
-            words = words_of(text)
+class Windows:
+    """The windows of benchmark items as sorted 64-bit hashes, with the items' words as one run of bytes to verify hits.
+
+    A word of the items takes 16 bytes beside its letters and one byte between (its window's hash, where
+    that starts, and its offset), so a block of b bytes of text takes 9 b at most, and two filters of 4 MB.
+    """
+
+    def __init__(self, items: Iterable[tuple[object, str | None]]):
+        self.ids: list[str] = []
+        text, values, lengths, firsts = bytearray(), [], [], [0]
+        starts: dict[int, list[np.ndarray]] = {}
+        hashes: dict[int, list[np.ndarray]] = {}
+        for item, raw in items:
+            words = words_of(raw)
             if item is None or not words:
                 continue
-            for w in words:
-                self.vocabulary.setdefault(w, xxhash.xxh64_intdigest(w) | 1)
-            width = min(WIDTH, len(words))
-            for i in range(len(words) - width + 1):
-                found.setdefault(width, {}).setdefault(tuple(words[i : i + width]), set()).add(str(item))
+            self.ids.append(str(item))
+            own, width = _values(words), min(WIDTH, len(words))
+            hashes.setdefault(width, []).append(_rolled(own, width))
+            starts.setdefault(width, []).append(np.arange(firsts[-1], firsts[-1] + len(words) - width + 1, dtype=np.uint32))
+            text += b" ".join(words) + b" "
+            lengths.append(np.fromiter(map(len, words), np.uint32, len(words)) + np.uint32(1))
+            values.append(np.unique(own))
+            firsts.append(firsts[-1] + len(words))
+        self.text, self.firsts = bytes(text), np.array(firsts)
+        self.at = np.cumsum(np.concatenate([np.zeros(1, np.uint32), *lengths]), dtype=np.uint32)
+        self.known = _bits(np.concatenate(values)) if values else None
         self.by_width = {}
-        for width, at in found.items():
-            hashed: dict[int, list] = {}
-            for words, ids in at.items():
-                values = np.array([self.vocabulary[w] for w in words], np.uint64)
-                hashed.setdefault(int(_rolled(values, width)[0]), []).append((words, sorted(ids)))
-            bits = np.zeros(1 << 20, bool)
-            bits[np.fromiter(hashed, np.uint64, len(hashed)) >> np.uint64(44)] = True
-            self.by_width[width] = (bits, hashed)
+        for width in sorted(hashes):
+            found, first = np.concatenate(hashes.pop(width)), np.concatenate(starts.pop(width))
+            order = np.argsort(found, kind="stable")
+            found = found[order]
+            self.by_width[width] = (_bits(found), found, first[order])
 
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Word spans [start, end) that lie in windows, merged, and the items with a window here."""
-        get = self.vocabulary.get
-        values = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-        known = values != 0
+        if self.known is None or not words:
+            return [], set()
+        values, shift = _values(words), np.uint64(64 - _FILTER)
+        run = np.concatenate(([0], np.cumsum(self.known[values >> shift])))
         hits, items = [], set()
-        for width, (bits, hashed) in self.by_width.items():
+        for width, (bits, hashes, firsts) in self.by_width.items():
             if len(words) < width:
                 continue
-            run = np.cumsum(np.concatenate(([0], known)))
-            full = np.flatnonzero(run[width:] - run[:-width] == width)  # windows of known words only
+            full = np.flatnonzero(run[width:] - run[:-width] == width)  # windows of words that the items have
             if not len(full):
                 continue
-            at = _rolled(values, width)
-            full = full[bits[at[full] >> np.uint64(44)]]
-            for i in full.tolist():
-                for seen, ids in hashed.get(int(at[i]), ()):
-                    if seen == tuple(words[i : i + width]):
-                        hits.append((i, i + width))
-                        items.update(ids)
-        spans: list[list[int]] = []
-        for a, b in sorted(hits):
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
-        return spans, items
+            at = _rolled(values, width)[full]
+            passed = bits[at >> shift]
+            full, at = full[passed], at[passed]
+            low, high = np.searchsorted(hashes, at), np.searchsorted(hashes, at, "right")
+            seen: dict[int, bytes] = {}  # of a window that comes again the items are known
+            for i, h, a, b in zip(full.tolist(), at.tolist(), low.tolist(), high.tolist()):
+                if a == b:
+                    continue
+                mine = b" ".join(words[i : i + width]) + b" "
+                if seen.get(h) != mine:
+                    first = firsts[a:b].astype(np.int64)
+                    first = np.array([f for f in first.tolist() if self.text[self.at[f] : self.at[f + width]] == mine], np.int64)
+                    if not len(first):
+                        continue
+                    seen[h] = mine
+                    items.update(self.ids[k] for k in np.unique(np.searchsorted(self.firsts, first, "right") - 1).tolist())
+                hits.append([i, i + width])
+        return merged(hits), items
+
+
+def merged(spans: list[list[int]]) -> list[list[int]]:
+    """Overlapping or touching spans become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 SCAN = "row_key string, doc_id long, n_words long, spans array<array<long>>, items array<string>"
 
 
-def _scanner(windows: Windows):
+def _sent(part: DataFrame) -> Broadcast:
+    """The windows of a block, which every worker holds once."""
+    windows = Windows((r[0], r[1]) for r in part.collect())  # at most block_bytes of text, or one item
+    return part.sparkSession.sparkContext.broadcast(windows)
+
+
+def _scanner(sent: Broadcast):
     def scan(b: pa.RecordBatch) -> pa.RecordBatch:
+        windows = sent.value
         keys, ids, texts = b.column("row_key"), b.column("doc_id"), b.column("text").to_pylist()
         rows = []
         for t in texts:
@@ -120,15 +176,12 @@ def _scanner(windows: Windows):
     return scan
 
 
-def _merge(spans):
-    """Overlapping or touching spans become one, as a column expression (spans of several blocks)."""
-    ordered = F.array_sort(F.flatten(spans))
-    start = F.array().cast("array<array<bigint>>")
-    join = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(F.element_at(acc, -1), 2) >= s[0]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], s[1])))),
-    ).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(ordered, start, join)
+def _together(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The spans and items of several blocks as one."""
+    spans = [merged([x for one in found for x in one]) for found in b.column("spans").to_pylist()]
+    items = [sorted({x for one in found for x in one}) for found in b.column("items").to_pylist()]
+    cols = [b.column("row_key"), b.column("doc_id"), b.column("n_words"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCAN.split(", ")])
 
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -152,15 +205,15 @@ def scan(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> D
     docs = docs.select(key, "doc_id", "text")
     found = None
     for part in parts:
-        windows = Windows([(r[0], r[1]) for r in part.collect()])  # at most block_bytes of text, or one item
-        one = arrow_map(docs, _scanner(windows), SCAN)
+        one = arrow_map(docs, _scanner(_sent(part)), SCAN)
         found = one if found is None else found.unionByName(one)
     if len(parts) == 1:
         return found
+    # A row for each block that found something, so a group has as many rows as there are blocks.
     grouped = found.groupBy("row_key").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items")
     )
-    return grouped.select("row_key", "doc_id", "n_words", _merge("spans").alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    return arrow_map(grouped, _together, SCAN)
 
 
 def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -172,9 +225,9 @@ def contamination(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BY
     )
 
 
-def _cutter(windows: Windows, drop_share: float):
+def _cutter(sent: Broadcast, drop_share: float):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        out, keep = [], []
+        windows, out, keep = sent.value, [], []
         for t in b.column("text").to_pylist():
             words = words_of(t)
             spans, _ = windows.scan(words)
@@ -222,11 +275,11 @@ def _span_cutter(drop_share: float):
 def decontaminate(docs: DataFrame, items: DataFrame, drop_share: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with benchmark windows cut out of the text; a document of which drop_share of the words are
     hit goes altogether. Other columns stay as they are. Of a benchmark of several blocks, the spans of
-    all are found on the whole text and put together by row before anything is cut."""
+    all are found on the whole text and put together by row before anything is cut. Null and empty texts, and
+    those without a window, stay as they are; repeated rows are each cut; an empty benchmark changes nothing."""
     items = items.select("item_id", "text").distinct()
     if len(blocks(items, block_bytes)) == 1:
-        windows = Windows([(r[0], r[1]) for r in items.collect()])
-        return arrow_map(docs, _cutter(windows, drop_share), docs.schema)
+        return arrow_map(docs, _cutter(_sent(items), drop_share), docs.schema)
     key, spans = (f"_{x}_{uuid.uuid4().hex}" for x in ("row", "spans"))
     rows = cut(docs.withColumn(key, F.uuid()), "decontaminate")
     found = scan(rows.select(F.col(key).alias("row_key"), F.lit(None).cast("long").alias("doc_id"), "text"), items, block_bytes)

@@ -58,3 +58,16 @@ def test_edge_cases(spark, odd, empty):
     assert decontam.contamination(odd, items.limit(0)).where("contaminated").count() == 0
     assert decontam.decontaminate(odd, items).count() == odd.count()
     assert decontam.contamination(odd, items, block_bytes=1).count() == odd.count()
+
+
+def test_what_is_broadcast_is_bounded_by_the_block():
+    import pickle
+    import random
+
+    rnd = random.Random(3)
+    text = " ".join("".join(rnd.choices("abcdefghij", k=rnd.randint(1, 6))) for _ in range(200_000))
+    windows = decontam.Windows([(1, text[: len(text) // 2]), (2, text[len(text) // 2 :]), (3, "one two"), (4, None), (None, "x")])
+    assert len(pickle.dumps(windows, 5)) < 9 * len(text) + (13 << 20)
+    words = decontam.words_of(text)
+    assert windows.scan(words[50:60] + [b"one", b"two"] + words[150_000:150_009]) == ([[0, 12]], {"1", "3"})
+    assert decontam.Windows([]).scan(words) == ([], set())
