@@ -97,7 +97,7 @@ def _signer(width: int):
     return run
 
 
-def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, needed: DataFrame, width: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """rep and shingles of the documents in needed (rep); docs has rep and text. The ids are sent to the
     texts while they are few enough, so that texts aren't shuffled."""
 
@@ -105,7 +105,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("rep"), pa.array([shingles(t, width).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["rep", "shingles"])
 
     needed = cut(needed.select("rep").distinct(), "needed")
-    near = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
+    near = F.broadcast(needed) if needed.count() <= broadcast_ids else needed
     return cut(arrow_map(docs.join(near, "rep", "left_semi"), run, "rep long, shingles binary").dropDuplicates(["rep", "shingles"]), "sets")
 
 
@@ -133,7 +133,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     before = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that a hub's edges can be dealt to several tasks: a join over an aggregate isn't split.
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), name)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("x"), "m").where("x <> m").distinct()
         smallest = large.groupBy("x").agg(F.min("m").alias("s"))
         small = large.join(smallest, "x")
@@ -147,61 +148,70 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots).distinct()
 
 
+def _joining(members: list[tuple], outliers: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links of outliers with members of other components, as many as join those that there are: of
+    (rep, root, outlier, shingles). Links within what the links before have joined are left out."""
+    sets = [np.frombuffer(x[3], np.uint64) for x in members]
+    sizes, every = np.array([len(x) for x in sets]), np.concatenate(sets)
+    names, at = np.unique(every, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    _, part = np.unique([x[1] for x in (*members, *outliers)], return_inverse=True)
+    out = []
+    for k, (rep, _, _, raw) in enumerate(outliers):
+        own, mine = np.frombuffer(raw, np.uint64), part[len(members) + k]
+        flag = np.zeros(len(names), np.int64)
+        where = np.searchsorted(names, own)
+        where[where == len(names)] = 0
+        flag[where[names[where] == own]] = 1
+        same = np.add.reduceat(flag[at], starts)
+        hit = np.flatnonzero((100 * same >= percent * (sizes + len(own) - same)) & (part[: len(members)] != mine))
+        others, first = np.unique(part[hit], return_index=True)
+        if len(others):
+            out.extend((rep, members[hit[i]][0]) for i in first.tolist())
+            part[np.isin(part, others)] = mine
+    return out
+
+
 def _across(cells: DataFrame, percent: int) -> DataFrame:
     """Links between the outliers and the members of each cell, of different roots; cells stand together and sorted."""
 
-    def compare(members: list[tuple], outliers: list[tuple]) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(x[3], np.uint64) for x in members]
-        sizes, every = np.array([len(x) for x in sets]), np.concatenate(sets)
-        names, at = np.unique(every, return_inverse=True)
-        starts = np.cumsum(sizes) - sizes
-        roots, out = np.array([x[1] for x in members]), []
-        for rep, root, _, raw in outliers:
-            own = np.frombuffer(raw, np.uint64)
-            flag = np.zeros(len(names), np.int64)
-            where = np.searchsorted(names, own)
-            where[where == len(names)] = 0
-            flag[where[names[where] == own]] = 1
-            same = np.add.reduceat(flag[at], starts)
-            hit = (100 * same >= percent * (sizes + len(own) - same)) & (roots != root)
-            out.extend((rep, members[k][0]) for k in np.flatnonzero(hit).tolist())
-        return out
-
     def run(batches):
         cell, members, outliers, found = None, [], [], []
         for b in batches:
             for r in zip(*(b.column(n).to_pylist() for n in ("group", "b", "c", "rep", "root", "outlier", "shingles"))):
                 if r[:3] != cell:
                     if members and outliers:
-                        found += compare(members, outliers)
+                        found += _joining(members, outliers, percent)
                     cell, members, outliers = r[:3], [], []
                 (outliers if r[5] else members).append(r[3:])
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
             found = []
         if members and outliers:
-            found = compare(members, outliers)
+            found = _joining(members, outliers, percent)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     small_batches(cells.sparkSession)
     return cells.mapInArrow(run, "a long, b long")
 
 
-def links(signed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def links(signed: DataFrame, docs: DataFrame, percent: int, width: int, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """node and component of the classes of equal sets that are linked with others.
 
-    signed has rep, n_shingles and keys of each class, docs its rep and text.
+    signed has rep, n_shingles and keys of each class, docs its rep and text. What is aggregated by bucket
+    is written before it is joined with the bucket's members, so that a hot bucket can be dealt to several tasks.
     """
+    signed = cut(signed, "signatures")
     rows = signed.select("rep", "n_shingles", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     rows = cut(rows.join(sizes, "key"), "buckets")
-    meets = rows.groupBy("rep").agg(F.sum("size").alias("meets"))
+    meets = cut(rows.groupBy("rep").agg(F.sum("size").alias("meets")), "meets")
     hubs = rows.join(meets, "rep").groupBy("key").agg(F.max(F.struct("meets", (-F.col("rep")).alias("r"), "n_shingles")).alias("x"))
-    hubs = hubs.select("key", (-F.col("x.r")).alias("hub"), F.col("x.n_shingles").alias("hub_n"))
+    hubs = cut(hubs.select("key", (-F.col("x.r")).alias("hub"), F.col("x.n_shingles").alias("hub_n")), "hubs")
     rows = cut(rows.join(hubs, "key").where("rep <> hub").select("key", "rep", "n_shingles", "hub", "hub_n"), "members")
 
     pairs = rows.where(100 * F.least("n_shingles", "hub_n") >= percent * F.greatest("n_shingles", "hub_n"))
     pairs = cut(pairs.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), width)
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("rep")), width, broadcast_ids)
     both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = both.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
     edges = cut(_confirm(both.select("a", "b", "set_a", "set_b"), percent), "links")
@@ -213,13 +223,14 @@ def links(signed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataF
     rows = rows.select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("root"))
     inside = rows.groupBy("key", "root").agg(F.count("*").alias("inside"))
     open_ = inside.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("inside", "root"))["root"].alias("group")).where("roots > 1")
+    open_ = cut(open_, "open-buckets")
     members = rows.join(open_, "key").select("group", "rep", "root", "n_shingles", (F.col("root") != F.col("group")).alias("outlier")).distinct()
     members = cut(members, "open")
     if members.isEmpty():
         return roots
     cells = members.groupBy("group").agg(F.sum("n_shingles").alias("all"), F.sum(F.when(F.col("outlier"), F.col("n_shingles"))).alias("out"))
-    cells = cells.select("group", F.ceil(F.col("all") / CELL).cast("int").alias("bs"), F.ceil(F.col("out") / CELL).cast("int").alias("cs"))
-    placed = members.join(cells, "group").join(_sets(docs, members, width), "rep")
+    cells = cut(cells.select("group", F.ceil(F.col("all") / cell).cast("int").alias("bs"), F.ceil(F.col("out") / cell).cast("int").alias("cs")), "cells")
+    placed = members.join(cells, "group").join(_sets(docs, members, width, broadcast_ids), "rep")
     of = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = placed.select("group", of("bs").alias("b"), every("cs").alias("c"), "rep", "root", F.lit(False).alias("outlier"), "shingles")
@@ -229,8 +240,12 @@ def links(signed: DataFrame, docs: DataFrame, percent: int, width: int) -> DataF
     return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
-def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
+def classes(docs: DataFrame, width: int = 5, percent: int = 80, cell: int = CELL, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
+
+    cell: shingles of the members, and of the outliers, that are compared in one place; broadcast_ids: how
+    many ids are sent to the texts, beyond which they are joined. Neither changes the result.
+    """
     docs = docs.select("doc_id", "text")
     signed = cut(arrow_map(docs, _signer(width), SIGNED), "signed")
     # One class for each set; its smallest id stands for it.
@@ -239,7 +254,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     same = (signed.doc_id == reps.rep) & (signed.set_key == reps.set_key)
     chosen = signed.join(reps, same).select("rep", reps.set_key, "n_shingles", "keys").dropDuplicates(["rep", "set_key"])
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
-    roots = links(chosen, texts, percent, width)
+    roots = links(chosen, texts, percent, width, cell, broadcast_ids)
     found = signed.select("doc_id", "n_shingles", "set_key").join(reps, "set_key", "left")
     found = found.join(roots, found.rep == roots.node, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))

@@ -57,3 +57,35 @@ def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(1000, 1001)]
     got = {r.node: r.component for r in neardup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(301)}, 1000: 1000, 1001: 1000}
+
+
+def test_many_cells_and_joined_ids_give_the_same(spark, documents, texts):
+    expected = neardup.brute(list(texts.items()), 2)
+    assert found(documents, width=2, cell=300, broadcast_ids=0) == expected
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    docs = []
+    for k in range(90):
+        x = list(base)
+        for i in rnd.sample(range(100), rnd.randint(3, 8)):
+            x[i] = f"v{rnd.randrange(10**6)}"
+        docs.append((k, " ".join(x)))
+    assert found(spark.createDataFrame(docs, "doc_id long, text string"), width=2, cell=500) == neardup.brute(docs, 2)
+
+
+def test_a_cell_gives_no_more_links_than_it_joins():
+    rnd = np.random.default_rng(1)
+    base = np.unique(rnd.integers(0, 1 << 62, 200, dtype=np.uint64))
+    sets = [np.sort(np.concatenate([base[:190], np.unique(rnd.integers(0, 1 << 62, 4, dtype=np.uint64))])) for _ in range(40)]
+    sets += [np.unique(rnd.integers(0, 1 << 62, 100, dtype=np.uint64)) for _ in range(5)]
+    members = [(k, k, False, x.tobytes()) for k, x in enumerate(sets)]
+    outliers = [(k, k, True, x.tobytes()) for k, x in enumerate(sets)]
+    links = neardup._joining(members, outliers, 80)
+    assert len(links) == 39 and {x for link in links for x in link} == set(range(40))
+
+
+def test_finds_the_near_copies_of_five_words(spark):
+    """Recall at the pipeline's width, against all pairs."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got = found(spark.createDataFrame(docs, "doc_id long, text string"), width=5)
+    assert got == neardup.brute(docs, 5)
