@@ -30,7 +30,7 @@ from orrery.llm.common import arrow_map, claim, cut, small_batches
 
 BANDS, ROWS = 24, 4
 #: Shingles of the members, and of the outliers, that are compared in one place.
-CELL = 400_000
+CELL = 100_000
 #: Ids of 8 bytes that are sent to all tasks at most.
 BROADCAST_IDS = 1_000_000
 #: Words that a worker remembers the hash of.
