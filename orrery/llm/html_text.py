@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -30,8 +31,8 @@ from orrery.llm.common import arrow_map
 #: Lines in a window, and the letters above which its sum is a surge.
 WINDOW, SURGE = 3, 86
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|textarea|svg|iframe|object|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S | re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 #: Words that tell boilerplate anywhere in a class or id, and such as also name layouts and subjects: those must be the whole class, or follow a word of place.
 _NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|navbar|navigation|breadcrumbs?|cookies?|gdpr|popup|newsletter|subscribe|"
@@ -42,6 +43,8 @@ _NOISE = re.compile(
     re.I,
 )
 _READERS = re.compile(r"(?:(?:user|reader|post|site|blog)[_-])?comments?(?:[_-](?:list|area|section|thread))?|disqus(?:[_-]thread)?|respond|replies", re.I)
+#: Words that tell boilerplate around an article, and text in one.
+_ONLY_OUTSIDE = re.compile(r"legal", re.I)
 _NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _DROPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "title", "label", "input", "option", "audio", "video", "canvas", "figure-ad"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -56,14 +59,15 @@ _SPACE = re.compile(r"\s+")
 _CLOSES_ITSELF = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def _named(name: str, attributes: str) -> tuple[bool, bool, str]:
-    """Whether an element is noise, whether it is marked as the article, and the class and id if only they say that it is noise."""
+def _named(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element is noise, whether it is marked as the article, and the class and id if only they
+    say that it is noise; inside: in an article."""
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
     role = found.get("role", "").lower()
     names = f"{found.get('class', '')} {found.get('id', '')}"
     article = name in ("article", "main") or role in ("article", "main") or "articlebody" in names.lower()
     noise = name in _DROPPED or role in _NOISE_ROLES or "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    told = not noise and not article and name not in ("body", "html") and _NOISE.search(names)
+    told = not noise and not article and name not in ("body", "html") and _NOISE.search(_ONLY_OUTSIDE.sub("", names) if inside else names)
     return noise, article, names if told else ""
 
 
@@ -83,6 +87,9 @@ def lines(page: str) -> list[Line]:
     open_: list[tuple[str, bool, bool, bool]] = []  # name, noise, article, named
     named: list[tuple[int, str]] = []  # of elements that class or id tell as noise: the one around, the names
     within, homes = [-1], [-1]  # open ones of them, and where the open articles stand
+    headings: list[str] = []  # open ones
+    opened: Counter[str] = Counter()
+    blocks: list[int] = []  # where open_ has blocks
     noise = article = links = linked = size = 0
     held: list[str] = []
 
@@ -97,7 +104,7 @@ def lines(page: str) -> list[Line]:
         text = _SPACE.sub(" ", html.unescape("".join(held))).strip() if held else ""
         # Outside a marked article, a line of links alone is a menu.
         text = "" if not article and linked and linked == size else text
-        heading = next((x[0] for x in open_ if x[0] in _HEADINGS), "") if text else ""
+        heading = headings[0] if text and headings else ""
         out.append(Line(text, article > 0, max(0, len(text) - linked), heading, by in _LAYOUT, within[-1], homes[-1]))
         held.clear()
         linked = size = 0
@@ -109,19 +116,20 @@ def lines(page: str) -> list[Line]:
                 end_block()
             within.pop()
         name, n, a, _ = open_.pop()
+        opened[name] -= 1
+        if name in _BLOCKS:
+            blocks.pop()
+        if name in _HEADINGS:
+            headings.pop()
         if a:
             homes.pop()
         noise, article, links = noise - n, article - a, links - (name == "a")
 
     def close(kind: str) -> None:
         """Ends an open element of kind, unless something that holds blocks stands between."""
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] == kind:
-                while len(open_) > k:
-                    shut()
-                return
-            if open_[k][0] in _BLOCKS:
-                return
+        if blocks and open_[blocks[-1]][0] == kind:
+            for _ in range(len(open_) - blocks[-1]):
+                shut()
 
     last = 0
     for m in _TOKEN.finditer(page):
@@ -133,7 +141,7 @@ def lines(page: str) -> list[Line]:
             continue
         name = name.lower()
         if m.group(2):
-            if any(x[0] == name for x in open_):
+            if opened[name]:
                 if name in _BLOCKS:
                     end_block(name)
                 while True:
@@ -153,10 +161,15 @@ def lines(page: str) -> list[Line]:
                 close(name)
         if name in _VOID or m.group(4).endswith("/"):
             continue
-        is_noise, is_article, names = _named(name, m.group(4))
+        is_noise, is_article, names = _named(name, m.group(4), article > 0)
         if name in _DROPPED or is_noise or names:
             if name not in _BLOCKS:
                 end_block()
+        opened[name] += 1
+        if name in _BLOCKS:
+            blocks.append(len(open_))
+        if name in _HEADINGS:
+            headings.append(name)
         open_.append((name, is_noise, is_article, bool(names)))
         if names:
             named.append((within[-1], names))

@@ -73,3 +73,34 @@ def test_edge_cases(spark):
     out = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(df).collect()), key=str)
     assert out == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (2, None, "", 0), (None, "v", "y", 1), (3, "w", "", 0)], key=str)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_attributes_as_html_reads_them():
+    assert main_text("<p>one <a title=it's>two</a> three</p><p>it's four</p><p>five</p>") == "one two three\n\nit's four\n\nfive"
+    assert main_text("<p>a <a title='x > y' data-id=\"ad\" id = main>b</a></p><p>c") == "a b\n\nc"
+    assert main_text("<article><p>a</p><div class='legal'>b</div><div class=related-work>c</div></article><div class=legal>d</div>") == "a\n\nb\n\nc"
+
+
+def test_windows_decide_on_pages_without_a_marked_article():
+    """Brute force: windows summed one by one; and with every line taken for a surge the result is another."""
+    sizes = [3, 0, 90, 0, 0, 40, 50, 0, 0, 0, 5]
+    sums = [sum(sizes[max(0, i - 2) : i + 1]) for i in range(len(sizes))]
+    above = [i for i, x in enumerate(sums) if x > 86]
+    found = html_text.stretches(sizes, 3, 86)
+    assert [i for a, b in found for i in range(a, b)] == above
+    page = f"<body><div><p>Home</p></div><div><p>{LONG}</p></div><div><p>Imprint</p></div></body>"
+    kept = main_text(page)
+    every = "\n\n".join(x.text for x in html_text.lines(page) if x.text)
+    assert kept == LONG.strip() != every
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    for page in (lambda n: "<div>" * n + "x</div>" * n, lambda n: "<p><div>" + "<b>" * n + "<hr>" * n, lambda n: "<h1>" * n + "a<p>" * n, lambda n: "<a " * n, lambda n: "<div class=ad>" * n + "x"):
+        took = []
+        for n in (10_000, 80_000):
+            began = time.perf_counter()
+            main_text(page(n))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 24 * took[0] + 0.2
