@@ -14,7 +14,8 @@ they may be promoted by what others found.
 
 Edge cases: null and empty texts have no spans; matches that fail their check (parts of an ip, digits
 or Luhn sum of a card, digits of a phone) are dropped; spans of different kinds may overlap and all
-stay in the result, and masking merges them; repeated rows and copies get equal results, and copies don't raise
+stay in the result, and masking merges them; a very long text takes time in proportion to its length and
+the logarithm of its matches; repeated rows and copies get equal results, and copies don't raise
 the number of different instances; null ids stay null; an empty table gives an empty result; other
 columns are ignored, or kept by mask().
 """
@@ -34,6 +35,8 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
+#: Of a token: the key and what parts it from the value, and the marks after the value.
+_KEY, _TRAIL = r"""^([^=:0-9@]++[=:]++["']?+)""", r"""(?<![.,;:!?)"'])[.,;:!?)"']++$"""
 #: White-space tokens with a digit or an at sign.
 _TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 
@@ -49,12 +52,35 @@ def _luhn(digits: str) -> str:
     return f"aggregate(sequence(1, length({digits})), 0, (a, i) -> a + if(i % 2 = 1, {digit}, {digit} * 2 - if({digit} > 4, 9, 0))) % 10 = 0"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body with value worked out once: a column that a lambda names would be worked out for each element."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(values: str, highest: bool = False) -> str:
+    """The sum, or the highest, of all values up to each one: of 16 places, then of 16 times as many, and so on."""
+    for d in (16**k for k in range(7)):
+        before = [f"get(a, i - {j * d})" for j in range(1, 16)]
+        taken = f"greatest(x, {', '.join(before)})" if highest else "x + " + " + ".join(f"coalesce({g}, 0)" for g in before)
+        values = _let("a", values, f"if(size(a) > {d}, transform(a, (x, i) -> {taken}), a)")
+    return values
+
+
 def _starts(pieces: str, matches: str) -> str:
     """Where each match starts: what stands before it, summed."""
-    return (
-        f"aggregate(sequence(1, size({matches})), named_struct('at', 0, 'out', cast(array() as array<int>)), "
-        f"(s, i) -> named_struct('at', s.at + length({pieces}[i - 1]) + length({matches}[i - 1]), 'out', concat(s.out, array(s.at + length({pieces}[i - 1])))), s -> s.out)"
-    )
+    ends = _running(f"zip_with(slice({pieces}, 1, size({matches})), {matches}, (p, m) -> length(p) + length(m))")
+    return f"zip_with({ends}, {matches}, (e, m) -> e - length(m))"
+
+
+#: Characters of a text's blocks. A piece is cut from the blocks it lies in, since a cut from a whole text passes all before it.
+_BLOCK = 1024
+_BLOCKS = f"regexp_extract_all(text, '(?s).{{1,{_BLOCK}}}+', 0)"
+
+
+def _between(start: str, end: str) -> str:
+    """The characters [start, end) of the text in blocks b."""
+    first, last = f"cast(({start}) div {_BLOCK} as int)", f"cast(greatest(({end}) - 1, {start}) div {_BLOCK} as int)"
+    return f"substr(concat_ws('', slice(b, {first} + 1, {last} - {first} + 1)), ({start}) % {_BLOCK} + 1, ({end}) - ({start}))"
 
 
 _VALID = {
@@ -100,23 +126,29 @@ def _left(before: str) -> str:
 def contexts(spanned: DataFrame) -> DataFrame:
     """key (of the text), doc_id, spans, seeds (left, form) of the fixed forms, and tokens (start, end,
     left, form) of the other identifier-like tokens, for every row."""
-    seeds = f"transform(spans, s -> named_struct('left', {_left('substr(text, greatest(1, s.start - 63), s.start - greatest(1, s.start - 63) + 1)')}, 'form', s.form))"
-    out = spanned.withColumn("_t", F.expr(f"case when text rlike '[0-9@]' then regexp_extract_all(text, {_quoted(_TOKEN)}, 0) end"))
+    before = _between("greatest(0, s.start - 64)", "s.start")
+    seeds = _let("b", _BLOCKS, f"transform(spans, s -> named_struct('left', {_left(before)}, 'form', s.form))")
+    out = spanned.withColumn("seeds", F.expr(f"case when size(spans) > 0 then {seeds} else array() end"))
+    out = out.withColumn("_t", F.expr(f"case when text rlike '[0-9@]' then regexp_extract_all(text, {_quoted(_TOKEN)}, 0) end"))
     out = out.withColumn("_p", F.expr(f"case when size(_t) > 0 then split(text, {_quoted(_TOKEN)}, -1) end"))
-    out = out.withColumn("_z", F.expr(f"case when _p is not null then zip_with(zip_with(_t, {_starts('_p', '_t')}, (m, a) -> named_struct('m', m, 'a', a)), _p, (x, p) -> named_struct('m', x.m, 'at', x.a, 'p', p)) end"))
-    inside = "exists(spans, s -> s.start < x.at + length(x.m) and x.at < s.end)"
-    key = "regexp_extract(x.m, '^([^=:0-9@]+[=:]+[\"\\']?)?(.+?)[.,;:!?)\"\\']*$', 1)"
-    value = "regexp_extract(x.m, '^([^=:0-9@]+[=:]+[\"\\']?)?(.+?)[.,;:!?)\"\\']*$', 2)"
-    made = (
-        f"transform(filter(_z, x -> x.m is not null and not {inside}), x -> named_struct('at', x.at, 'k', {key}, 'v', {value}, 'p', x.p))"
-    )
+    # Tokens and spans in one order, a span before a token at its start. A token is in a span if one before ends
+    # after its start, or the next of all starts before its end: tokens don't overlap.
+    tokens = f"zip_with(zip_with(_t, {_starts('_p', '_t')}, (m, a) -> named_struct('at', a, 'o', 1, 'e', a + length(m), 'm', m)), slice(_p, 1, size(_t)), (x, p) -> named_struct('at', x.at, 'o', x.o, 'e', x.e, 'm', x.m, 'p', p))"
+    spans = "transform(spans, s -> named_struct('at', s.start, 'o', 0, 'e', s.end, 'm', '', 'p', ''))"
+    out = out.withColumn("_z", F.expr(f"case when _p is not null then {tokens} end"))
+    inside = "(get(h, i) > x.at or coalesce(get(e, i + 1).o = 0 and get(e, i + 1).at < x.e, false))"
+    outside = _let("h", _running("transform(e, v -> if(v.o = 0, v.e, 0))", highest=True), f"filter(e, (x, i) -> x.o = 1 and not {inside})")
+    outside = _let("e", f"sort_array(concat({spans}, _z))", outside)
+    out = out.withColumn("_z", F.expr(f"case when _z is null or size(spans) = 0 then _z else {outside} end"))
+    bare = f"regexp_replace(x.m, {_quoted(_TRAIL)}, '')"
+    named = f"transform(_z, x -> named_struct('at', x.at, 'm', {bare}, 'k', regexp_extract(x.m, {_quoted(_KEY)}, 1), 'p', x.p))"
+    made = f"transform({named}, x -> named_struct('at', x.at, 'k', x.k, 'v', substr(x.m, length(x.k) + 1), 'p', x.p))"
     tokens = (
         f"transform(filter({made}, y -> length(y.v) >= 4), y -> named_struct('start', y.at + length(y.k), 'end', y.at + length(y.k) + length(y.v), "
-        f"'left', case when y.k <> '' then lower(regexp_replace(y.k, '[\"\\']$', '')) else {_left('y.p')} end, 'form', y.v))"
+        f"'left', case when y.k <> '' then lower(regexp_replace(y.k, {_quoted('["' + "']$")}, '')) else {_left('y.p')} end, 'form', y.v))"
     )
     return out.select(
-        F.md5(F.col("text").cast("binary")).alias("key"), "doc_id", "spans", F.expr(seeds).alias("seeds"),
-        F.expr(f"case when _z is not null then {tokens} end").alias("tokens"),
+        F.md5(F.col("text").cast("binary")).alias("key"), "doc_id", "spans", "seeds", F.expr(f"case when _z is not null then {tokens} end").alias("tokens"),
     )
 
 
@@ -211,13 +243,13 @@ def mask(docs: DataFrame) -> DataFrame:
         rows = rows.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
         rows = rows.join(_hits(found, promoted).select(F.col("key").alias("_key"), F.col("more").alias("_more")), "_key", "left")
         rows = rows.withColumn("_spans", F.when(F.size("_more") > 0, F.concat("_spans", "_more")).otherwise(F.col("_spans")))
-    # Merged: overlapping spans become one with the first's kind. Then the text is put together from what lies between.
-    merged = (
-        "aggregate(array_sort(_spans), cast(array() as array<struct<s:int,e:int,k:string>>), (a, x) -> case when size(a) > 0 and element_at(a, -1).e > x.start "
-        "then concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.end), 'k', element_at(a, -1).k))) "
-        "else concat(a, array(named_struct('s', x.start, 'e', x.end, 'k', upper(x.kind)))) end)"
-    )
-    rows = rows.withColumn("_m", F.expr(f"case when size(_spans) > 0 then {merged} end"))
-    parts = "transform(_m, (x, i) -> concat(substr(text, if(i = 0, 0, _m[i - 1].e) + 1, x.s - if(i = 0, 0, _m[i - 1].e)), '[', x.k, ']'))"
-    text = F.expr(f"case when _m is null then text else concat(concat_ws('', {parts}), substr(text, element_at(_m, -1).e + 1)) end")
+    # Merged: a span that starts before all before it have ended goes on with them, under the first's kind.
+    # Then the text is put together from what lies between.
+    firsts = "filter(transform(o, (x, i) -> named_struct('i', i, 's', x.start, 'k', x.kind)), f -> f.i = 0 or get(h, f.i - 1) <= f.s)"
+    merged = "transform(f, (x, j) -> named_struct('s', x.s, 'e', get(h, coalesce(get(f, j + 1).i, size(o)) - 1), 'k', upper(x.k)))"
+    parts = f"transform(m, (x, i) -> concat({_between('coalesce(get(m, i - 1).e, 0)', 'x.s')}, '[', x.k, ']'))"
+    masked = f"concat(concat_ws('', {parts}), {_between('element_at(m, -1).e', 'length(text)')})"
+    for name, value in (("b", _BLOCKS), ("m", merged), ("f", firsts), ("h", _running("transform(o, v -> v.end)", highest=True)), ("o", "sort_array(_spans)")):
+        masked = _let(name, value, masked)
+    text = F.expr(f"case when size(_spans) > 0 then {masked} else text end")
     return rows.select(*(text.alias("text") if c == "text" else F.col("_own_spans").alias("spans") if c == "spans" else F.col(c) for c in kept))

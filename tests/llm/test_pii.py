@@ -1,4 +1,6 @@
+import collections
 import hashlib
+import random
 import re
 
 from orrery.llm import pii
@@ -86,3 +88,89 @@ def test_native_plan_and_edge_cases(odd, empty):
     assert [r.spans for r in rows if r.doc_id == 6] == [brute("é😀 ünïcode a@b.co +1 (555) 555-0100 10.0.0.1")]
     assert pii.personal_data(empty).count() == 0
     assert pii.mask(odd).columns == odd.columns and pii.mask(odd).count() == odd.count() and pii.mask(empty).count() == 0
+
+
+WS = r"\x20\x09-\x0D"
+
+
+def left_of(before):
+    found = re.search(r"([^\s]+(?:[ \t]+[=:#]+)?)[\s\"'(]*$", before[-64:], re.A)
+    return re.sub(r"\s", "", found.group(1)).lower() if found else ""
+
+
+def brute_context(texts):
+    """Patterns and the spans they find, by the plain definition: a list of (start, end) for each text."""
+    seeds, tokens, words = [], [], []
+    for text in texts:
+        spans = [tuple(map(int, x.split(":")[1:])) for x in brute(text).split(",") if x]
+        seeds += [(left_of(text[:a]), text[a:b]) for a, b in spans]
+        mine, last = [], 0
+        for m in re.finditer(f"[^{WS}]+", text):
+            if not re.search("[0-9@]", m.group()):
+                continue
+            before, last = text[last : m.start()], m.end()
+            if any(a < m.end() and m.start() < b for a, b in spans):
+                continue
+            key = re.match(r"([^=:0-9@]+[=:]+[\"']?)?", m.group()).group()
+            value = m.group().rstrip(".,;:!?)\"'")[len(key) :]
+            if len(value) >= 4:
+                mine.append((m.start() + len(key), m.start() + len(key) + len(value), re.sub("[\"']$", "", key).lower() if key else left_of(before), value))
+        tokens.append(mine)
+        glued = re.sub(r"[ \t]+([=:#]+)", r"\1", text).lower()
+        words += [re.sub(r"^([^=:0-9@]+[=:]+)[\"']?.+$", r"\1", w, flags=re.S) for w in re.split(f"[{WS}]+", glued)]
+    seed_forms = {f for left, f in seeds if left}
+    edges = collections.Counter([x for x in seeds if x[0]] + [(t[2], t[3]) for mine in tokens for t in mine if t[2]])
+    occurs, score, promoted = collections.Counter(words), {f: float(f in seed_forms) for _, f in edges}, {}
+    for _ in range(100):
+        promoted = {}
+        for left in {k for k, _ in edges}:
+            forms = [(f, n) for (k, f), n in edges.items() if k == left]
+            rate = sum(n * score[f] for f, n in forms) / occurs[left] if occurs[left] else 0
+            if rate >= pii.LEAST_SCORE and sum(score[f] >= pii.LEAST_SCORE for f, _ in forms) >= pii.LEAST_INSTANCES:
+                promoted[left] = rate
+        score = {f: max([float(f in seed_forms), *(min(1.0, promoted[k]) for (k, g) in edges if g == f and k in promoted)]) for f in score}
+    return [[(a, b) for a, b, left, _ in mine if left in promoted] for mine in tokens]
+
+
+def test_contextual_spans_are_those_of_the_definition(spark):
+    rnd = random.Random(4)
+    name = lambda: "".join(rnd.choices("abcdefg", k=4)) + str(rnd.randrange(100))
+    say = [
+        lambda: f"contact: {name()}@mail.com", lambda: f"contact: {name()}-host,", lambda: f"user={name()}", lambda: f"user='{name()}@x.org'", lambda: f"the {name()}x", lambda: "the end.",
+        lambda: f"Ticket # {name()}99", lambda: f"ticket # {name()}@a.bc", lambda: f"(see {name()}!!)", lambda: f"host {rnd.randrange(256)}.1.2.{rnd.randrange(300)}", lambda: f"host {name()}:80", lambda: "été \U0001f600 a=b",
+    ]
+    weights = [4, 1, 1, 4, 1, 3, 1, 4, 1, 2, 1, 1]
+    texts = ["  ".join(rnd.choices(say, weights)[0]() for _ in range(rnd.randint(0, 12))) for _ in range(150)]
+    expected = brute_context(texts)
+    assert sum(map(len, expected)) > 20
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    masked = {r.doc_id: r.text for r in pii.mask(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        more = [f"context:{a}:{b}" for a, b in expected[k]]
+        assert [x for x in got[k].spans.split(",") if x.startswith("context")] == more
+        out, spans = [], sorted((int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0]), int(x.split(":")[2]), x.split(":")[0]) for x in got[k].spans.split(",") if x)
+        last = i = 0
+        while i < len(spans):
+            start, end, kind = spans[i][0], spans[i][2], spans[i][3]
+            while i < len(spans) and spans[i][0] < max(end, start + 1):
+                end, i = max(end, spans[i][2]), i + 1
+            out += [text[last:start], f"[{kind.upper()}]"]
+            last = end
+        assert masked[k] == "".join(out) + text[last:]
+
+
+def test_time_grows_with_the_text(spark):
+    import time
+
+    unit = "mail a%d@mail.com or 10.0.0.1 and +1 (555) 555-0100 to x77-y é the 4111 1111 1111 1111 end "
+    took = []
+    for n in (200, 2_000, 8_000):
+        text = "".join(unit % i for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        r = pii.personal_data(docs).first()
+        masked = pii.mask(docs).first().text
+        took.append(time.perf_counter() - began)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (n, n, n, n)
+        assert masked == "mail [EMAIL] or [IP] and [PHONE] to x77-y é the [CARD] end " * n or "[CONTEXT]" in masked
+    assert took[2] < 8 * (took[1] + 1)
