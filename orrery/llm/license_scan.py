@@ -4,7 +4,7 @@ Each notice may have up to a bounded number of edits (EDIT_SHARE of its letters)
 more piece than that, so that by the pigeonhole principle a text with the notice has one of the pieces
 exactly. An Aho-Corasick automaton over all pieces finds those seeds in one pass over the words,
 lower-cased and joined by single spaces; around each seed the regex library matches the notice with the bounded
-number of errors and reports the span and its edits. Before that, exact phrases give the base labels.
+number of errors and reports the best span and its edits, so the work at a seed is bounded. Before that, exact phrases give the base labels.
 
 Edge cases: null or empty text has no words, no labels and score 0; a text of one huge word is one word;
 repeated rows are scanned each; null ids stay null; places of a phrase that overlap all count; an empty
@@ -14,6 +14,8 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -86,34 +88,42 @@ class Scanner:
         if not words:
             return {"n_words": 0, "base": [], "spans": []}
         flat = b" ".join(words).decode()
+        starts = list(accumulate((len(w) + 1 for w in flat.split(" ")), initial=0))[:-1]  # of the words
         padded = f" {flat} "
         base = []
         for phrase, label, _ in self.phrases:
             at = padded.find(phrase)
             while at >= 0:
-                base.append((padded.count(" ", 0, at), label))
+                base.append((bisect_left(starts, at), label))
                 at = padded.find(phrase, at + 1)
-        windows: dict[int, list[list[int]]] = {}
+        # Where a notice may begin by one of its pieces. Places that no more than its edits part are searched as one.
+        places: dict[int, list[int]] = {}
         for end, (size, where) in self.automaton.iter(flat):
             for k, at in where:
-                notice, _, edits, _ = self.notices[k]
-                low = max(0, end + 1 - size - at - edits - 1)
-                high = min(len(flat), end + 1 - size - at + len(notice) + edits + 1)
-                mine = windows.setdefault(k, [])
-                if mine and low <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(low, mine[-1][0]), max(high, mine[-1][1])
-                else:
-                    mine.append([low, high])
+                places.setdefault(k, []).append(end + 1 - size - at)
         spans = []
-        for k, found in windows.items():
-            notice, label, _, pattern = self.notices[k]
-            for low, high in found:
-                for m in pattern.finditer(flat, low, high):
+        for k, found in places.items():
+            notice, label, edits, pattern = self.notices[k]
+            found.sort()
+            first = last = found[0]
+            for place in (*found[1:], None):
+                if place is not None and place <= first + 2 * edits:
+                    last = place
+                    continue
+                if first == last and padded.startswith(f" {notice} ", first):  # nothing to look for
+                    a = bisect_left(starts, first)
+                    spans.append((a, a + notice.count(" ") + 1, label, 0, 1.0))
+                    first = last = place
+                    continue
+                low, high = max(0, first - edits - 1), min(len(flat), last + len(notice) + edits + 1)
+                first = last = place
+                if m := pattern.search(flat, low, high):
                     s, e = m.span()
                     s, e = s + len(m.group()) - len(m.group().lstrip()), e - len(m.group()) + len(m.group().rstrip())
+                    if (s and flat[s - 1] != " ") or (e < len(flat) and flat[e] != " "):  # the window's end isn't a word's
+                        continue
                     errors = sum(m.fuzzy_counts)
-                    first = flat.count(" ", 0, s)
-                    spans.append((first, first + flat.count(" ", s, e) + 1, label, errors, 1 - errors / len(notice)))
+                    spans.append((bisect_right(starts, s) - 1, bisect_right(starts, e - 1), label, errors, 1 - errors / len(notice)))
         return {"n_words": len(words), "base": sorted(base), "spans": _best(sorted(set(spans)))}
 
 

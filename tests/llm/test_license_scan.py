@@ -62,6 +62,44 @@ def test_spans_and_edits_are_reported():
     assert spans == [(2, 7, "mit", 3, 0.9)]
 
 
+def least_edits(notice, text):
+    """The fewest edits between notice and whole words of text, by the table of all of them."""
+    row = [0 if i == 0 or text[i - 1] == " " else 10**6 for i in range(len(text) + 1)]  # spans start with words
+    for a in notice:
+        new = [row[0] + 1]
+        for i, b in enumerate(text):
+            new.append(min(row[i + 1] + 1, new[i] + 1, row[i] + (a != b)))
+        row = new
+    return min(x for i, x in enumerate(row) if i == len(text) or text[i] == " ")
+
+
+def test_one_notice_against_the_table_of_edits():
+    rnd, notice = random.Random(6), "released under the mit license"
+    scanner = license_scan.Scanner({notice: "mit"}, {})
+    bound = scanner.notices[0][2]
+    n_found = 0
+    for _ in range(300):
+        text = f"{rnd.choice(('we', 'mit', 'the license'))} {edits(rnd, notice, rnd.randint(0, 6))} {rnd.choice(('x', 'license', 'mit'))}"
+        text = " ".join(text.split())
+        least, spans = least_edits(notice, text), scanner.scan(text)["spans"]
+        assert (min((s[3] for s in spans), default=None) == least) if least <= bound else not spans, text
+        n_found += bool(spans)
+    assert 100 < n_found < 300
+
+
+def test_neighbouring_notices_are_all_found_in_linear_time():
+    import time
+
+    scanner, took = license_scan.Scanner(), []
+    assert [s[:4] for s in scanner.scan("released under the mitt license released under the mit license")["spans"]] == [(0, 5, "mit", 1), (5, 10, "mit", 0)]
+    for n in (1_000, 1_000, 8_000):
+        began = time.perf_counter()
+        found = scanner.scan("released under the mitt licenze and all rights reserved " * n)
+        took.append(time.perf_counter() - began)
+        assert [s[0] for s in found["spans"] if s[2] == "mit"] == list(range(0, 9 * n, 9)) and len(found["base"]) == n
+    assert took[2] < 16 * took[1]
+
+
 def test_edge_cases(odd, empty):
     rows = license_scan.scan(odd).collect()
     assert len(rows) == odd.count()
