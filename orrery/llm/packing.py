@@ -3,9 +3,10 @@
 Only the number of pieces of each length matters to a packing, so a plan is made on the driver from at
 most CAPACITY counts, whatever the corpus: a list of fillings, each with how many sequences have it.
 Branch and bound takes the longest piece left, enumerates fillings of the rest of its sequence that no
-other dominates (nothing left fits into what they leave), tries those of least waste first and gives
-up a branch once its waste rules out a plan better than the best so far. Best-fit decreasing gives the
-first incumbent; a plan that meets the lower bound ends the search. Pieces then find their place by
+other dominates (no piece left fits into what they leave, nor in place of one or two shorter ones), tries
+those of least waste first and gives up a branch once its waste rules out a plan better than the best so
+far. Best-fit decreasing gives the first incumbent; a plan that meets the lower bound ends the search.
+Search bounds how much is tried; EXACT lifts all bounds. Pieces then find their place by
 their rank among those of equal length, which needs no task to hold more than a bounded group.
 
 A document is its ids and an end id. One of up to CAPACITY ids is one piece; a longer one is cut into
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,20 @@ from orrery.llm.common import arrow_map, cut
 from orrery.llm.tokens import REMEMBERED, encoder
 
 CAPACITY, END_ID = 2048, 0
-#: Branches that the search tries before it takes the best plan so far.
-NODES = 20_000
+
+class Search(NamedTuple):
+    """How much of the search is made; None is no bound. Each bound only ends the search early, with the best plan so far."""
+
+    nodes: int | None = 20_000  # branches
+    most: int | None = 6  # fillings kept at a level, those of least waste
+    tries: int | None = 48  # lengths tried for a further piece
+    deep: int | None = 2  # further pieces for which more than the largest that fits is tried
+    at_once: bool = True  # a filling is used as often as its pieces last, not one sequence at a time
+
+
+#: The whole search, which finds the fewest sequences: for small tables of lengths.
+EXACT = Search(None, None, None, None, False)
+
 #: Pieces of one length that are ranked together, about.
 GROUP = 1_000
 
@@ -93,76 +107,91 @@ class _Left:
             self.mask = self.mask | 1 << k if self.n[k] > 0 else self.mask & ~(1 << k)
 
 
-def fillings(left: _Left, first: int, capacity: int, most: int = 6, tries: int = 48) -> list[tuple[int, ...]]:
-    """Fillings around a piece of length first, of least waste first; in each, nothing left fits the rest."""
+def _dominated(taken: tuple[int, ...], room: int, left: _Left) -> bool:
+    """Whether a piece that is left fits into room, or in place of one or two shorter ones but the first:
+    any plan with this filling is then no worse with that one, and one with less waste or fewer pieces."""
+    if 0 < left.below(room):
+        return True
+    rest = sorted(set(taken[1:]))
+    for i, x in enumerate(rest):
+        if left.below(x + room) > x:
+            return True
+        for y in rest[i:]:
+            if (x != y or taken[1:].count(x) > 1) and left.below(x + y + room) >= x + y:
+                return True
+    return False
+
+
+def fillings(left: _Left, first: int, capacity: int, search: Search = Search()) -> list[tuple[int, ...]]:
+    """Fillings around a piece of length first, of least waste first, that no other dominates."""
     found: dict[tuple[int, ...], int] = {}
+    exact = search.tries is None and search.deep is None
 
     def grow(taken: tuple[int, ...], room: int, deep: int) -> bool:
-        for k in set(taken):
-            left.n[k] -= taken.count(k)
-            if left.n[k] <= 0:
-                left.mask &= ~(1 << k)
+        k = taken[-1]
+        left.n[k] -= 1
+        if left.n[k] <= 0:
+            left.mask &= ~(1 << k)
         try:
-            largest = left.below(min(room, taken[-1]))
+            size, n, more = left.below(min(room, k)), 0, search.deep is None or deep < search.deep
+            if size <= 0:
+                if not _dominated(taken, room, left):
+                    found[taken] = room
+                    return room == 0 and not exact
+                return False
+            while size > 0 and (search.tries is None or n < (search.tries if more else 1)):
+                if grow((*taken, size), room - size, deep + 1):
+                    return True
+                if not exact and more and found and size * (room // size + 1) < room - min(found.values()):
+                    break
+                size, n = left.below(size - 1), n + 1
+            return False
         finally:
-            mask = left.mask
-            for k in set(taken):
-                left.n[k] += taken.count(k)
-                left.mask |= 1 << k
-        if largest <= 0:
-            found[taken] = room
-            return room == 0
-        size, n = largest, 0
-        while size > 0 and n < (tries if deep < 2 else 1):
-            if grow((*taken, size), room - size, deep + 1):
-                return True
-            if deep < 2 and found and size * (room // size + 1) < room - min(found.values()):
-                break
-            size, n = (mask & ((1 << size) - 1)).bit_length() - 1, n + 1
-        return False
+            left.n[k] += 1
+            left.mask |= 1 << k
 
     grow((first,), capacity - first, 0)
-    return sorted(found, key=lambda f: (found[f], [-k for k in f]))[:most]
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Plan:
-    """Fillings and how many sequences have each; all pieces are placed once."""
+    if not found:  # of the bounded tries all were dominated: the largest that fits, always
+        taken, room = (first,), capacity - first
+        left.take((first,), 1)
+        while (size := left.below(room)) > 0:
+            left.take((size,), 1)
+            taken, room = (*taken, size), room - size
+        left.take(taken, -1)
+        found[taken] = room
+    return sorted(found, key=lambda f: (found[f], [-k for k in f]))[: search.most]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, search: Search = Search()) -> Plan:
+    """Fillings and how many sequences have each; all pieces are placed once. With EXACT, as few as there can be."""
     counts = {k: n for k, n in counts.items() if n}
     if not counts:
         return []
     total, least = sum(k * n for k, n in counts.items()), lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     bins = sum(m for _, m in best)
-    left, done, waste, used = _Left(counts), [], 0, 0
-    stack: list[list] = []  # alternatives of each level, the next first
-    while bins > least and nodes > 0:
-        if left.mask == 0:
+    left, done, waste, used, nodes = _Left(counts), [], 0, 0, 0
+    stack: list[list] = []  # alternatives of each level, the next last
+    while bins > least and (search.nodes is None or nodes < search.nodes):
+        if left.mask == 0 and used < bins:
             bins, best = used, list(done)
-        slack = (bins - 1) * capacity - total
-        if left.mask and waste <= slack:
-            first = left.mask.bit_length() - 1
-            stack.append(fillings(left, first, capacity)[::-1])
-        else:  # back to the last level with another way
-            if not done:
-                break
-            filling, m = done.pop()
-            left.take(filling, -m)
-            waste, used = waste - m * (capacity - sum(filling)), used - m
-        while stack and not stack[-1]:
+        if left.mask and waste <= (bins - 1) * capacity - total:
+            stack.append(fillings(left, left.mask.bit_length() - 1, capacity, search)[::-1])
+        else:
+            stack.append([])
+        while stack and not stack[-1]:  # back to the last level with another way
             stack.pop()
-            if not stack or not done:
-                nodes = 0
-                break
-            filling, m = done.pop()
-            left.take(filling, -m)
-            waste, used = waste - m * (capacity - sum(filling)), used - m
-        if nodes <= 0:
+            if stack:
+                filling, m = done.pop()
+                left.take(filling, -m)
+                waste, used = waste - m * (capacity - sum(filling)), used - m
+        if not stack:
             break
         filling = stack[-1].pop()
-        m = min(left.n[k] // filling.count(k) for k in set(filling))
+        m = min(left.n[k] // filling.count(k) for k in set(filling)) if search.at_once else 1
         left.take(filling, m)
         done.append((filling, m))
-        waste, used, nodes = waste + m * (capacity - sum(filling)), used + m, nodes - 1
+        waste, used, nodes = waste + m * (capacity - sum(filling)), used + m, nodes + 1
     return best
 
 
@@ -189,10 +218,11 @@ def _cutter(tokenizer: str, capacity: int, keep_ids: bool, remembered: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED, search: Search = Search(), group: int = GROUP) -> DataFrame:
     """Every piece of docs (doc_id, text) with its sequence_id and offset, and its ids (uint32) if keep_ids.
 
     remembered: how many stretches of text a worker keeps the ids of; fewer take less memory and more time.
+    group: pieces of one length that are ranked together, about; the sequences don't depend on it.
     """
     spark = docs.sparkSession
     made = arrow_map(docs.select("doc_id", "text"), _cutter(tokenizer, capacity, keep_ids, remembered), PIECES)
@@ -200,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     intervals, sequence = [], 0
     used: dict[int, int] = {}
-    for filling, times in plan(counts, capacity):
+    for filling, times in plan(counts, capacity, search):
         offset = 0
         for size in filling:
             at = used.get(size, 0)
@@ -210,7 +240,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int =
     places = spark.createDataFrame(intervals, "length long, low long, high long, shift long, offset long")
     # Rank among equal lengths: within groups of about GROUP pieces, then moved by the groups before. A length
     # that many pieces share has many groups. The number of groups by length is a table of at most capacity rows.
-    groups = spark.createDataFrame([(k, 1 + n // GROUP) for k, n in counts.items()], "length long, groups long")
+    groups = spark.createDataFrame([(k, 1 + n // group) for k, n in counts.items()], "length long, groups long")
     pieces = pieces.join(F.broadcast(groups), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
     sizes = pieces.groupBy("length", "part").count()
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -85,6 +85,46 @@ def test_plans_are_no_worse_than_best_fit():
     assert packing.plan({}) == [] and sum(m for _, m in packing.plan({2048: 10**9, 1: 5})) == 10**9 + 1
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_the_whole_search_finds_the_best(seed):
+    rnd = random.Random(100 + seed)
+    capacity = rnd.choice((20, 50, 100))
+    sizes = [rnd.randint(1, capacity * 3 // 5) for _ in range(rnd.randint(1, 11))]
+    plan = packing.plan(dict(Counter(sizes)), capacity, packing.EXACT)
+    placed = Counter()
+    for filling, m in plan:
+        assert sum(filling) <= capacity
+        placed.update({k: n * m for k, n in Counter(filling).items()})
+    assert placed == Counter(sizes) and sum(m for _, m in plan) == best(sorted(sizes, reverse=True), capacity)
+
+
+def test_fillings_are_those_that_nothing_dominates():
+    """By brute force: no piece that is left fits into the room or for one or two shorter ones."""
+    from itertools import combinations
+
+    rnd = random.Random(7)
+    for _ in range(60):
+        sizes = sorted((rnd.randint(1, 30) for _ in range(9)), reverse=True)
+        left, room = packing._Left(Counter(sizes)), 40 - sizes[0]
+        expected = set()
+        for n in range(9):
+            for c in combinations(range(1, 9), n):
+                taken, free = [sizes[i] for i in c], room - sum(sizes[i] for i in c)
+                rest = [sizes[i] for i in range(1, 9) if i not in c]
+                if free >= 0 and not any(z <= free for z in rest) and not any(x < z <= x + free for x in taken for z in rest) and not any(sum(p) <= z <= sum(p) + free for p in combinations(taken, 2) for z in rest):
+                    expected.add((sizes[0], *taken))
+        assert set(packing.fillings(left, sizes[0], 40, packing.EXACT)) == expected
+        assert left.n == Counter(sizes)
+
+
+def test_groups_of_equal_lengths(spark):
+    """More than one group of a length: the places are the same."""
+    docs = spark.createDataFrame([(k, "a " * (1 + k % 3) * 400) for k in range(60)], "doc_id long, text string")
+    rows = packing.pack(docs, group=7).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert check(rows, texts) == check(packing.pack(docs).collect(), texts)
+
+
 def test_edge_cases(odd, empty):
     rows = packing.pack(odd).collect()
     assert sum(r.piece == 0 for r in rows) == odd.count()
