@@ -1,63 +1,31 @@
-"""What the training-data operators share: the shared folder, written cuts of the lineage, Arrow maps."""
+"""What the training-data operators share: written cuts of the lineage, Arrow maps, the memory of workers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.plans.materialize import new_path
+from orrery.plans.materialize import written as cut
 from orrery.plans.ship import ship
 
-#: Rows in an Arrow batch: a thousand texts of 100 kB are 100 MB, so batches stay small.
-BATCH_ROWS = 128
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where neither that nor a checkpoint
-    folder is set (local tests) a temporary folder is made and kept for the session.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        here = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = here.get() if here.isDefined() else None
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="orrery-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
+__all__ = ["arrow_map", "claim", "cut", "new_path", "ship", "table", "text_or_empty"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/orrery-{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and returns the written table: later uses neither
-    recompute it nor depend on an executor that may be lost."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Makes the session's Arrow batches small enough for long texts, and the package known to its workers."""
-    ship(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+#: Rows that are worked on at a time.
+BATCH_ROWS = 128
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One record batch in, one out, with small batches (a text may have megabytes)."""
-    small_batches(df.sparkSession)
+    """One record batch in, one out, of few rows at a time, since a text may have megabytes; Spark bounds the bytes of a batch."""
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield fn(b)
+            for at in range(0, b.num_rows, BATCH_ROWS):
+                yield fn(b.slice(at, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 

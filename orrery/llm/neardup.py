@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_map, claim, cut, small_batches
+from orrery.llm.common import arrow_map, claim, cut, ship
 
 BANDS, ROWS = 24, 4
 #: Shingles of the members, and of the outliers, that are compared in one place.
@@ -190,7 +190,7 @@ def _across(cells: DataFrame, percent: int) -> DataFrame:
             found = _joining(members, outliers, percent)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    small_batches(cells.sparkSession)
+    ship(cells.sparkSession)
     return cells.mapInArrow(run, "a long, b long")
 
 

@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import new_path, small_batches
+from orrery.llm.common import BATCH_ROWS, new_path, ship
 from orrery.llm.tokens import encoder
 
 MAGIC = b"ZIDS1\n"
@@ -107,8 +107,8 @@ def _serialised(texts: list[str], tokenizer: str) -> list[bytes]:
     return [x + end for x in encoder(tokenizer).ids([t or "" for t in texts])]
 
 
-def write(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: str | None = None) -> str:
-    """Writes docs (doc_id, text) as files in folder (by default a new one in the shared folder) and returns it."""
+def write(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: str | None = None, file_bytes: int = FILE_BYTES) -> str:
+    """Writes docs (doc_id, text) as files of about file_bytes in folder (by default a new one in the shared folder) and returns it."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-store")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -134,21 +134,21 @@ def write(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", folder: str | N
                 [pa.array([part]), pa.array([n]), pa.array([name]), pa.array([len(held)]), pa.array([sum(x[1] for x in held)])], ["part", "piece", "name", "n_docs", "n_ids"]
             )
 
-        for b in batches:
+        for b in (b.slice(at, BATCH_ROWS) for b in batches for at in range(0, b.num_rows, BATCH_ROWS)):
             ids = [NO_ID if i is None else i for i in b.column("doc_id").to_pylist()]
             for doc_id, raw in zip(ids, _serialised(b.column("text").to_pylist(), tokenizer)):
                 frame = store.pack(raw)
                 held.append((doc_id, len(raw) // 2, frame))
                 size += len(frame)
-            if size >= FILE_BYTES:
+            if size >= file_bytes:
                 yield flush()
                 held, size, n = [], 0, n + 1
         if held:
             yield flush()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // FILE_BYTES) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // file_bytes) + 1)
     placed = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    small_batches(spark)
+    ship(spark)
     placed.mapInArrow(to_files, "part long, piece long, name string, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
     return folder
 

@@ -68,3 +68,18 @@ def test_edge_cases(spark, odd, empty):
     ordered = sorted(rows, key=lambda r: (r.start, r.n_tokens))
     assert [r.start for r in ordered] == [sum(x.n_tokens for x in ordered[:i]) for i in range(len(ordered))]
     assert token_store.read(spark, token_store.write(empty)).count() == 0
+
+
+def test_one_id_fills_several_files(spark):
+    """A partition that can't be split by id writes file after file."""
+    docs = spark.createDataFrame([(5, f"some text of number {k} here") for k in range(400)] + [(1, "first"), (9, "last")], "doc_id long, text string")
+    folder = token_store.write(docs, file_bytes=500)
+    names = [r.name for r in spark.read.parquet(f"{folder}/manifest").collect()]
+    assert len(names) > 3 and any(not n.endswith("-000000.zids") for n in names)
+    rows = sorted((r.start, r.doc_id, r.n_tokens) for r in token_store.read(spark, folder).collect())
+    at = 0
+    for start, _, n in rows:
+        assert start == at
+        at += n
+    assert [d for _, d, _ in rows] == [1] + [5] * 400 + [9]
+    assert sum(len(token_store.lookup(folder, n, 5)) for n in names) == 400
