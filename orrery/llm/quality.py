@@ -122,8 +122,8 @@ def rules(within: str = "") -> dict[str, Column]:
     return {
         "symbols": _vote((10 * c("n_symbols") > n) | (some & (33 * c("n_symbols") > c("word_chars"))), some & (100 * c("n_symbols") <= n)),
         "capitals": _vote((letters >= 20) & (2 * c("n_upper") > letters), (letters >= 20) & (4 * c("n_upper") <= letters)),
-        "repeated_windows": _vote(100 * c("n_repeat_words") > 20 * n, some & (100 * c("n_repeat_words") <= 5 * n)),
-        "repeated_lines": _vote((c("n_dup_lines") >= 1) & (10 * c("n_dup_lines") > c("n_lines")), (c("n_lines") >= 2) & (c("n_dup_lines") == 0)),
+        "repeated_windows": _vote(100 * c("n_repeat_words") > 10 * n, some & (100 * c("n_repeat_words") <= 5 * n)),
+        "repeated_lines": _vote((c("n_dup_lines") >= 2) & (10 * c("n_dup_lines") > 3 * c("n_lines")), (c("n_lines") >= 2) & (10 * c("n_dup_lines") <= c("n_lines"))),
         "stuttering": _vote(some & (5 * c("n_same_next") > n), some & (20 * c("n_same_next") <= n)),
         "function_words": _vote((n >= 30) & (100 * c("n_stop") < 2 * n), some & (100 * c("n_stop") >= 8 * n)),
         "shouting": _vote(some & (10 * c("n_marks") > n), some & (c("n_marks") * 100 <= n)),
