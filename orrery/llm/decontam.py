@@ -19,12 +19,11 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import arrow_map, claim, cut
+from orrery.llm.common import arrow_map, cut
 
 WIDTH = 10
 #: UTF-8 bytes of benchmark text in one block; what is broadcast at once is at most nine times that, and 8 MB.
@@ -50,18 +49,41 @@ def _rolled(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-#: Words that a worker remembers the hash of.
-CACHE = 200_000
-_hashes: dict[bytes, int] = {}
-
-
-def _values(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word."""
-    if len(claim("decontamination words", _hashes)) > CACHE:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+#: Bytes of text that are hashed at a time, at least.
+CHUNK = 1 << 20
+_LETTERS = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LETTERS[32] = 0
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _of_places(n: int) -> list[np.ndarray]:
+    """What the letters of n places weigh, and how to take the weight of a word's first place from the word."""
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.multiply.accumulate(np.full(n + 4096, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
+
+
+def _hashed(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of flat (letters and spaces) starts and ends, and a 64-bit hash of it."""
+    parts, at = [], 0
+    while at < len(flat):
+        stop = flat.find(b" ", at + CHUNK)
+        stop = len(flat) if stop < 0 else stop
+        letters = np.frombuffer(flat, np.uint8, stop - at, at)
+        edges = np.flatnonzero(np.diff(letters != 32, prepend=False, append=False))
+        starts, ends = edges[::2], edges[1::2]
+        if len(starts):
+            weight, back = _of_places(len(letters))
+            total = np.cumsum(_LETTERS[letters] * weight[: len(letters)])[ends - 1]
+            value = (total - np.concatenate((total[:1] * 0, total[:-1]))) * back[starts]
+            value ^= value >> np.uint64(32)
+            value *= np.uint64(0xBF58476D1CE4E5B9)
+            parts.append((starts + at, ends + at, value ^ (value >> np.uint64(29))))
+        at = stop
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts)))
 
 
 _FILTER = 22
@@ -90,11 +112,12 @@ class Windows:
             if item is None or not words:
                 continue
             self.ids.append(str(item))
-            own, width = _values(words), min(WIDTH, len(words))
+            joined, width = b" ".join(words) + b" ", min(WIDTH, len(words))
+            starts_, ends, own = _hashed(joined)
             hashes.setdefault(width, []).append(_rolled(own, width))
             starts.setdefault(width, []).append(np.arange(firsts[-1], firsts[-1] + len(words) - width + 1, dtype=np.uint32))
-            text += b" ".join(words) + b" "
-            lengths.append(np.fromiter(map(len, words), np.uint32, len(words)) + np.uint32(1))
+            text += joined
+            lengths.append((ends - starts_).astype(np.uint32) + np.uint32(1))
             values.append(np.unique(own))
             firsts.append(firsts[-1] + len(words))
         self.text, self.firsts = bytes(text), np.array(firsts)
@@ -107,15 +130,17 @@ class Windows:
             found = found[order]
             self.by_width[width] = (_bits(found), found, first[order])
 
-    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
-        """Word spans [start, end) that lie in windows, merged, and the items with a window here."""
-        if self.known is None or not words:
-            return [], set()
-        values, shift = _values(words), np.uint64(64 - _FILTER)
+    def scan(self, text: str | None) -> tuple[int, list[list[int]], set[str]]:
+        """The number of words, their spans [start, end) that lie in windows, merged, and the items with a window here."""
+        flat = (text or "").encode().translate(_TABLE)
+        starts, ends, values = _hashed(flat)
+        if self.known is None or not len(values):
+            return len(values), [], set()
+        shift = np.uint64(64 - _FILTER)
         run = np.concatenate(([0], np.cumsum(self.known[values >> shift])))
         hits, items = [], set()
         for width, (bits, hashes, firsts) in self.by_width.items():
-            if len(words) < width:
+            if len(values) < width:
                 continue
             full = np.flatnonzero(run[width:] - run[:-width] == width)  # windows of words that the items have
             if not len(full):
@@ -128,7 +153,7 @@ class Windows:
             for i, h, a, b in zip(full.tolist(), at.tolist(), low.tolist(), high.tolist()):
                 if a == b:
                     continue
-                mine = b" ".join(words[i : i + width]) + b" "
+                mine = b" ".join(flat[starts[i] : ends[i + width - 1]].split()) + b" "
                 if seen.get(h) != mine:
                     first = firsts[a:b].astype(np.int64)
                     first = np.array([f for f in first.tolist() if self.text[self.at[f] : self.at[f + width]] == mine], np.int64)
@@ -137,7 +162,7 @@ class Windows:
                     seen[h] = mine
                     items.update(self.ids[k] for k in np.unique(np.searchsorted(self.firsts, first, "right") - 1).tolist())
                 hits.append([i, i + width])
-        return merged(hits), items
+        return len(values), merged(hits), items
 
 
 def merged(spans: list[list[int]]) -> list[list[int]]:
@@ -164,10 +189,7 @@ def _scanner(sent: Broadcast):
     def scan(b: pa.RecordBatch) -> pa.RecordBatch:
         windows = sent.value
         keys, ids, texts = b.column("row_key"), b.column("doc_id"), b.column("text").to_pylist()
-        rows = []
-        for t in texts:
-            words = words_of(t)
-            rows.append((len(words), *windows.scan(words)))
+        rows = [windows.scan(t) for t in texts]
         return pa.RecordBatch.from_arrays(
             [keys, ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int64()))), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
             ["row_key", "doc_id", "n_words", "spans", "items"],
@@ -229,10 +251,8 @@ def _cutter(sent: Broadcast, drop_share: float):
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         windows, out, keep = sent.value, [], []
         for t in b.column("text").to_pylist():
-            words = words_of(t)
-            spans, _ = windows.scan(words)
-            hit = sum(e - s for s, e in spans)
-            keep.append(not spans or hit < drop_share * len(words))
+            n, spans, _ = windows.scan(t)
+            keep.append(not spans or sum(e - s for s, e in spans) < drop_share * n)
             out.append(_without(t, spans) if spans and keep[-1] else t)
         cols = [pa.array(out, pa.string()) if n == "text" else b.column(n) for n in b.schema.names]
         return pa.RecordBatch.from_arrays(cols, b.schema.names).filter(pa.array(keep))

@@ -69,5 +69,16 @@ def test_what_is_broadcast_is_bounded_by_the_block():
     windows = decontam.Windows([(1, text[: len(text) // 2]), (2, text[len(text) // 2 :]), (3, "one two"), (4, None), (None, "x")])
     assert len(pickle.dumps(windows, 5)) < 9 * len(text) + (13 << 20)
     words = decontam.words_of(text)
-    assert windows.scan(words[50:60] + [b"one", b"two"] + words[150_000:150_009]) == ([[0, 12]], {"1", "3"})
-    assert decontam.Windows([]).scan(words) == ([], set())
+    mixed = b" . ".join(words[50:60] + [b"One", b"TWO"] + words[150_000:150_009]).decode()
+    assert windows.scan(mixed) == (21, [[0, 12]], {"1", "3"})
+    assert decontam.Windows([]).scan("a b") == (2, [], set()) and windows.scan(None) == (0, [], set())
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    text = ("ab  cd é" + "x" * 9000 + " ab Cd " * 300 + "").encode().lower()
+    starts, ends, values = decontam._hashed(text)
+    assert [text[a:b] for a, b in zip(starts, ends)] == text.split()
+    monkeypatch.setattr(decontam, "CHUNK", 7)
+    for one, other in zip(decontam._hashed(text), (starts, ends, values)):
+        assert (one == other).all()
+    assert len(set(values.tolist())) == len(set(text.split())) and decontam._hashed(b"  ")[0].size == 0
