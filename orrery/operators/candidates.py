@@ -57,6 +57,10 @@ class Context:
     def cooc(self) -> DataFrame:
         return written(graph.cooccurrence(self.data.watches, "user_id", "repo_id"), "cooc")
 
+    @cached_property
+    def user_cooc(self) -> DataFrame:
+        return written(graph.cooccurrence(self.data.watches, "repo_id", "user_id"), "user-cooc")
+
     @cached_property
     def closure(self) -> DataFrame:
         return written(graph.closure(self.data.repos), "closure")
@@ -167,11 +171,17 @@ def in_cluster_repo(c: Context) -> DataFrame:
     return rows.withColumn("k", k).where(F.col("k") <= MOST_CLUSTERED).drop("k")
 
 
+#: Ids of a bucket that ranges and ids are joined by.
+ID_BUCKET = 1024
+
+
 def in_id_range(c: Context) -> DataFrame:
-    """Repos whose id lies in the user's range: a range of ids is a sequence, joined by equality."""
+    """Repos whose id lies in the user's range: ranges meet ids in the buckets that they touch."""
+    bucket = lambda k: F.floor(F.col(k) / ID_BUCKET)
     r = c.users.select("user_id").distinct().join(c.ranges, "user_id")
-    ids = r.select("user_id", F.explode(F.sequence("min_repo", "max_repo")).alias("repo_id"))
-    return ids.join(c.data.repos.select("repo_id"), "repo_id").select("user_id", "repo_id")
+    r = r.select("user_id", "min_repo", "max_repo", F.explode(F.sequence(bucket("min_repo"), bucket("max_repo"))).alias("bucket"))
+    ids = c.data.repos.select("repo_id", bucket("repo_id").alias("bucket"))
+    return r.join(ids, "bucket").where("repo_id between min_repo and max_repo").select("user_id", "repo_id")
 
 
 def _cooc(c: Context, score: str) -> DataFrame:
@@ -193,11 +203,11 @@ def coocs2(c: Context) -> DataFrame:
 def most_watched(c: Context) -> DataFrame:
     """The most watched repos of all, for every user: a list of a fixed length."""
     top = c.popular.where(F.col("popularity_rank") < c.most.get("most_watched", MOST_ENTRIES)).select("repo_id")
-    return c.users.select("user_id").distinct().join(F.broadcast(top.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).select("user_id", "repo_id")
+    return c.users.select("user_id").distinct().crossJoin(F.broadcast(top)).select("user_id", "repo_id")
 
 
 def probability_propagation(c: Context) -> DataFrame:
-    return graph.propagate(c.data.watches).join(c.users.select("user_id").distinct(), "user_id", "left_semi")
+    return graph.propagate(c.data.watches, c.users)
 
 
 SOURCES: dict[str, Callable[[Context], DataFrame]] = {

@@ -88,3 +88,20 @@ def grouped_split(rows: DataFrame, group: str = "user_id", validation: int = 20,
     """rows with split: train, validation or test by the group, so that a group stays together."""
     h = (F.col(group) * 7919 + 17) % 100
     return rows.withColumn("split", F.when(h < test, "test").when(h < test + validation, "validation").otherwise("train"))
+
+
+def range_matches(users: DataFrame, user_ranges: DataFrame, repo_ranges: DataFrame, repos: DataFrame, watches: DataFrame, most: int = 10) -> DataFrame:
+    """user_id and the first most repos of its id range, odd ones (watched first beyond the range of their
+    own) before others, by id; for users whose range has an odd repo and who watch nothing up to its end."""
+    first = watches.groupBy("user_id").agg(F.min("repo_id").alias("first"))
+    u = users.select("user_id").distinct().join(user_ranges, "user_id").join(first, "user_id", "left").where("first is null or first > max_repo")
+    bucket = lambda k: F.floor(F.col(k) / 1024)
+    u = u.select("user_id", "min_repo", "max_repo", F.explode(F.sequence(bucket("min_repo"), bucket("max_repo"))).alias("bucket"))
+    seen = watches.groupBy("repo_id").agg(F.min("user_id").alias("first_user"))
+    r = repos.select("repo_id").join(repo_ranges.select("repo_id", "max_user"), "repo_id", "left").join(seen, "repo_id", "left")
+    r = r.select("repo_id", bucket("repo_id").alias("bucket"), F.coalesce(F.col("first_user") > F.coalesce("max_user", F.lit(-1)), F.lit(False)).alias("odd"))
+    rows = u.join(r, "bucket").where("repo_id between min_repo and max_repo")
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("odd"), "repo_id"))
+    rows = rows.withColumn("k", k).where(F.col("k") <= most)
+    found = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "repo_id"))).alias("x"), F.bool_or("odd").alias("odd"))  # most at most
+    return found.where("odd").select("user_id", F.col("x.repo_id").alias("repos"))

@@ -69,15 +69,92 @@ def dates(pairs: DataFrame, repos: DataFrame, authors: DataFrame, inferred: Data
     return x.select("user_id", "repo_id", "created_day", "user_day", (F.col("created_day") - F.col("user_day")).alias("day_difference"), "author_followers", "author_following", "user_followers", "user_following")
 
 
-def id_range(pairs: DataFrame, users: DataFrame, repos: DataFrame) -> DataFrame:
-    """Whether the ids lie in each other's ranges, the ranges' sizes, and a score of both."""
-    x = pairs.join(users, "user_id", "left").join(repos, "repo_id", "left")
-    in_u = F.coalesce((F.col("repo_id") >= F.col("min_repo")) & (F.col("repo_id") <= F.col("max_repo")), F.lit(False)).cast("int")
-    in_r = F.coalesce((F.col("user_id") >= F.col("min_user")) & (F.col("user_id") <= F.col("max_user")), F.lit(False)).cast("int")
-    su, sr = F.coalesce(F.col("max_repo") - F.col("min_repo") + 1, F.lit(0)), F.coalesce(F.col("max_user") - F.col("min_user") + 1, F.lit(0))
-    odd_u, odd_r = (in_u.cast("boolean") & (su > 1)).cast("int"), (in_r.cast("boolean") & (sr > 1)).cast("int")
-    return x.select("user_id", "repo_id", in_u.alias("in_user_range"), in_r.alias("in_repo_range"), su.alias("user_range_size"), sr.alias("repo_range_size"), odd_u.alias("suspicious_user"), odd_r.alias("suspicious_repo"),
-        F.when(in_u + in_r > 0, in_r + in_u + 2 * odd_u + 2 * odd_r + 2 * odd_u * odd_r).otherwise(0).alias("range_score"))
+def author_dates(pairs: DataFrame, repos: DataFrame, authors: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Days on which the repo was made, its author joined, and the user's first own author joined, their
+    differences, and the largest counts of the user's own authors; -1 where an author's counts aren't known.
+
+    authors: author_name, num_followers, num_following and joined, a day. Where there is no joined, the
+    day of the author's first repo stands in for it.
+    """
+    on = ["user_id", "repo_id"]
+    known = authors.where("num_followers is not null")
+    if "joined" not in known.columns:
+        known = known.join(repos.groupBy("author_name").agg(F.min("created_day").alias("joined")), "author_name", "left")
+    own = inferred.join(known, "author_name").groupBy("user_id").agg(F.min("joined").alias("own_joined"), F.max("num_followers").alias("own_followers"), F.max("num_following").alias("own_following"))
+    x = pairs.select(*on).join(repos.select("repo_id", "author_name", "created_day"), "repo_id", "left")
+    x = x.join(known.select("author_name", F.col("joined").alias("author_joined")), "author_name", "left").join(own, "user_id", "left")
+    x = x.fillna({"author_joined": 0, "own_joined": 10000, "own_followers": -1, "own_following": -1})
+    return x.select(
+        *on, "author_joined", (F.col("created_day") - F.col("author_joined")).alias("repo_after_author"), "own_joined", (F.col("created_day") - F.col("own_joined")).alias("repo_after_own"),
+        (F.col("author_joined") - F.col("own_joined")).alias("author_after_own"), "own_followers", "own_following",
+    )
+
+
+def follow_counts(pairs: DataFrame, follows: DataFrame) -> DataFrame:
+    """How many follow the user, and how many the user follows."""
+    count = lambda key, other, name: follows.groupBy(F.col(key).alias("user_id")).agg(F.count_distinct(other).alias(name))
+    x = pairs.select("user_id", "repo_id").join(count("followed_id", "follower_id", "n_followers"), "user_id", "left")
+    return x.join(count("follower_id", "followed_id", "n_following"), "user_id", "left").fillna(0)
+
+
+def cooccurrence_sizes(pairs: DataFrame, watches: DataFrame, cooc: DataFrame, prefix: str, user_side: bool = False) -> DataFrame:
+    """For both weights of cooccurrence(): its total over all of W (or all of the repo's watchers), and how
+    many the user (or the repo) co-occurs with, by cooc among the same kind."""
+    on, other = ("repo_id", "user_id") if not user_side else ("user_id", "repo_id")
+    total = cooccurrence(pairs.select("user_id", "repo_id"), watches, cooc, prefix, user_side)
+    held = watches.groupBy(other).agg(F.count("*").alias("_held"))
+    met = cooc.groupBy(F.col("a").alias(on)).agg(F.count_if("in_cooc").alias(f"{prefix}_cooc_met"), F.count("*").alias(f"{prefix}_cooc2_met"))
+    x = total.join(held, other, "left").join(met, on, "left").fillna(0)
+    share = lambda k: xdiv(F.col(f"{prefix}_{k}_total"), F.col("_held")).alias(f"{prefix}_{k}_share")
+    return x.select(*total.columns, share("cooc"), share("cooc2"), f"{prefix}_cooc_met", f"{prefix}_cooc2_met")
+
+
+def author_similarity(pairs: DataFrame, repos: DataFrame, inferred: DataFrame, user_vectors: DataFrame) -> DataFrame:
+    """The largest dot product and cosine of the user's vector with that of a user who may be the repo's
+    author; -2 if there is none, null for a repo without author."""
+    on = ["user_id", "repo_id"]
+    x = pairs.select(*on).join(repos.select("repo_id", "author_name"), "repo_id", "left")
+    theirs = inferred.join(user_vectors, "user_id").select("author_name", F.col("v").alias("_v"))
+    each = x.join(theirs, "author_name").join(user_vectors, "user_id").groupBy(*on)
+    best = each.agg(F.max(dot(F.col("v"), F.col("_v"))).alias("author_best_dot"), F.max(xdiv(dot(F.col("v"), F.col("_v")), norm(F.col("v")) * norm(F.col("_v")))).alias("author_best_cosine"))
+    x = x.join(best, on, "left")
+    return x.select(*on, *(F.when(F.col("author_name").isNotNull(), F.coalesce(k, F.lit(-2.0))).alias(k) for k in ("author_best_dot", "author_best_cosine")))
+
+
+def keyword_vectors(pairs: DataFrame, watched: DataFrame, repo_vectors: DataFrame) -> DataFrame:
+    """Keyword vectors (repo_id, v) of the repo and of W, whose mean is of vectors of length 1: largest
+    terms, and the terms of their product, as they are and for a repo's vector of length 1."""
+    on = ["user_id", "repo_id"]
+    unit = repo_vectors.select("repo_id", "v", norm(F.col("v")).alias("n")).where("n > 0")
+    held = watched.groupBy("user_id").agg(F.count("*").alias("_held"))
+    terms = watched.join(unit, "repo_id").select("user_id", F.posexplode(F.transform("v", lambda x: x / F.col("n"))).alias("_i", "_x"))
+    mean = terms.groupBy("user_id", "_i").agg(F.sum("_x").alias("_x")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("u"))  # one place for each dimension
+    mean = mean.join(held, "user_id").select("user_id", F.transform("u", lambda t: t["_x"] / F.col("_held")).alias("u"))
+    x = pairs.select(*on).join(mean, "user_id", "left").join(unit, "repo_id", "left").withColumn("_t", F.zip_with("u", "v", lambda a, b: a * b))
+    total, most = F.aggregate("_t", F.lit(0.0), lambda a, b: a + b), F.array_max("_t")
+    return x.select(
+        *on, F.array_max("u").alias("kw_user_max"), F.array_max("v").alias("kw_repo_max"), xdiv(F.array_max("v"), F.col("n")).alias("kw_repo_max_share"), total.alias("kw_total"), most.alias("kw_max"),
+        xdiv(most, total).alias("kw_max_share"), xdiv(total, F.col("n")).alias("kw_total_norm"), xdiv(most, F.col("n")).alias("kw_max_norm"),
+    )
+
+
+def api_counts(pairs: DataFrame, counted: DataFrame, kids: DataFrame, api: DataFrame) -> DataFrame:
+    """Watches and forks that an interface reports (repo_id, num_watches, num_forks), and how many more they are than the graph has."""
+    x = pairs.select("user_id", "repo_id").join(api, "repo_id", "left").join(counted.select("repo_id", "n_watchers"), "repo_id", "left").join(kids, "repo_id", "left")
+    x = x.fillna({"num_watches": -1, "num_forks": -1, "n_watchers": 0, "n_children": 0})
+    return x.select("user_id", "repo_id", "num_watches", (F.col("num_watches") - F.col("n_watchers")).alias("more_watches"), "num_forks", (F.col("num_forks") - F.col("n_children")).alias("more_forks"))
+
+
+def id_range(pairs: DataFrame, users: DataFrame, repos: DataFrame, watches: DataFrame) -> DataFrame:
+    """Whether the ids lie in each other's ranges, how far the ranges reach, whether what the user (the repo)
+    is linked with starts beyond its range or nothing is, and a score of all. An unknown range reaches from -1 to -1."""
+    first = lambda key, other: watches.groupBy(key).agg(F.min(other).alias(f"_first_{other}"))
+    x = pairs.join(users, "user_id", "left").join(repos, "repo_id", "left").fillna(-1, subset=["min_repo", "max_repo", "min_user", "max_user"])
+    x = x.join(first("user_id", "repo_id"), "user_id", "left").join(first("repo_id", "user_id"), "repo_id", "left")
+    in_u, in_r = F.expr("int(repo_id between min_repo and max_repo)"), F.expr("int(user_id between min_user and max_user)")
+    odd_u, odd_r = F.expr("int(coalesce(_first_repo_id > max_repo, true))"), F.expr("int(coalesce(_first_user_id > max_user, true))")
+    return x.select("user_id", "repo_id", in_u.alias("in_user_range"), in_r.alias("in_repo_range"), F.expr("max_repo - min_repo").alias("user_range_size"), F.expr("max_user - min_user").alias("repo_range_size"),
+        odd_u.alias("suspicious_user"), odd_r.alias("suspicious_repo"), F.when(in_u + in_r > 0, in_r + in_u + 2 * odd_u + 2 * odd_r + 2 * odd_u * odd_r).otherwise(0).alias("range_score"))
 
 
 def vectors(pairs: DataFrame, user_vectors: DataFrame, repo_vectors: DataFrame, centroids: DataFrame, singular: list[float]) -> DataFrame:
@@ -105,7 +182,8 @@ def keyword_overlap(pairs: DataFrame, watched: DataFrame, keywords: DataFrame) -
     both = pairs.join(keywords, "repo_id").join(u, ["user_id", "token"]).groupBy("user_id", "repo_id").agg(F.sum(F.col("tf") * F.col("utf")).alias("tf_overlap"), F.sum(F.col("tfidf") * F.col("uti")).alias("tfidf_overlap"), F.count("*").alias("common_words"))
     x = pairs.join(both, ["user_id", "repo_id"], "left").join(un, "user_id", "left").join(rn, "repo_id", "left").fillna(0)
     over = lambda a, b: F.when(b == 0, F.lit(-2.0)).otherwise(xdiv(a, b))
-    return x.select("user_id", "repo_id", "tf_overlap", over(F.col("tf_overlap"), F.col("utn") * F.col("rtn")).alias("tf_overlap_norm"), "tfidf_overlap", over(F.col("tfidf_overlap"), F.col("uin") * F.col("rin")).alias("tfidf_overlap_norm"), "common_words", "user_words", "repo_words")
+    return x.select("user_id", "repo_id", "tf_overlap", over(F.col("tf_overlap"), F.col("utn") * F.col("rtn")).alias("tf_overlap_norm"), "tfidf_overlap", over(F.col("tfidf_overlap"), F.col("uin") * F.col("rin")).alias("tfidf_overlap_norm"), "common_words", "user_words", "repo_words",
+        F.col("utn").alias("user_tf_norm"), F.col("uin").alias("user_tfidf_norm"), F.col("rtn").alias("repo_tf_norm"), F.col("rin").alias("repo_tfidf_norm"))
 
 
 def relations(pairs: DataFrame, repos: DataFrame, inferred: DataFrame, follows: DataFrame, watches: DataFrame) -> DataFrame:

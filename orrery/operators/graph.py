@@ -35,15 +35,16 @@ def children(repos: DataFrame) -> DataFrame:
     return repos.where("parent_id is not null").groupBy(F.col("parent_id").alias("repo_id")).agg(F.count("*").alias("n_children"))
 
 
-def closure(repos: DataFrame, most: int = 64) -> DataFrame:
+def closure(repos: DataFrame) -> DataFrame:
     """repo_id, ancestor_id and distance, by doubling: paths of length up to 2k from those of length up to k.
 
-    Parents that aren't repos end a path; a cycle ends when no new pair appears or at most doublings.
+    Parents that aren't repos end a path. Distances are the least ones, so on a cycle none is longer than
+    it, and rounds end when no pair is as far apart as the last one reached.
     """
     edges = repos.where("parent_id is not null").select("repo_id", F.col("parent_id").alias("ancestor_id"))
     edges = edges.join(repos.select(F.col("repo_id").alias("ancestor_id")), "ancestor_id", "left_semi").where("repo_id <> ancestor_id")
     paths, reach = written(edges.select("repo_id", "ancestor_id", F.lit(1).alias("distance")), "paths"), 1
-    while reach < most:
+    while True:
         far = paths.where(F.col("distance") == reach)
         if far.isEmpty():
             break
@@ -107,8 +108,9 @@ def random_walk(watches: DataFrame, rounds: int = 20, restart: float = 0.25) ->
     Users start uniform. Each user's mass goes to its repos alike, is normalised, goes back to the
     repos' watchers alike, and is mixed with restart of the uniform distribution over the users.
     """
-    degree = watches.withColumn("du", F.count("*").over(Window.partitionBy("user_id"))).withColumn("dr", F.count("*").over(Window.partitionBy("repo_id")))
-    edges = written(degree.select("user_id", "repo_id", "du", "dr"), "edges")
+    # Degrees are counted before the shuffle and written, so that the watches of a popular repo can be dealt to several tasks.
+    degree = lambda key, name: written(watches.groupBy(key).agg(F.count("*").alias(name)), "degree")
+    edges = written(watches.join(degree("user_id", "du"), "user_id").join(degree("repo_id", "dr"), "repo_id").select("user_id", "repo_id", "du", "dr"), "edges")
     users = edges.select("user_id").distinct()
     n = max(users.count(), 1)
     user = users.withColumn("p", F.lit(1.0 / n))
@@ -213,13 +215,17 @@ def user_languages(watches: DataFrame, repo_languages: DataFrame) -> DataFrame:
     return mean.join(norms, "user_id")
 
 
-def propagate(watches: DataFrame) -> DataFrame:
-    """user_id, repo_id, total, n, mean of two-step propagation: to the other watchers of watched repos, then to their repos."""
+def propagate(watches: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """user_id, repo_id, total, n, mean of two-step propagation: to the other watchers of watched repos, then to their repos.
+
+    users (user_id): whose propagation is wanted, all by default; what they don't start isn't worked out.
+    """
     n = watches.groupBy("repo_id").agg(F.count("*").alias("n")).where("n >= 2")
-    seeds = watches.join(n, "repo_id").select(F.col("user_id").alias("u"), "repo_id", (1.0 / (F.col("n") - 1)).alias("w"))
+    started = watches if users is None else watches.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    seeds = started.join(n, "repo_id").select(F.col("user_id").alias("u"), "repo_id", (1.0 / (F.col("n") - 1)).alias("w"))
     steps = seeds.join(watches, "repo_id").where("u <> user_id").groupBy("u", "user_id").agg(F.sum("w").alias("w"), F.count("*").alias("k"))
     steps = steps.withColumn("w", F.col("w") / F.sum("k").over(Window.partitionBy("u")))
     degree = watches.groupBy("user_id").agg(F.count("*").alias("d"))
     out = steps.join(degree, "user_id").join(watches, "user_id").groupBy("u", "repo_id").agg(F.sum(F.col("w") / F.col("d")).alias("total"), F.count("*").alias("n"))
     out = out.select(F.col("u").alias("user_id"), "repo_id", "total", "n", (F.col("total") / F.col("n")).alias("mean"))
-    return out.join(watches, ["user_id", "repo_id"], "left_anti")
+    return out.join(started, ["user_id", "repo_id"], "left_anti")

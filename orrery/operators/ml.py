@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -41,15 +42,99 @@ def _times(df: DataFrame, key: str, m: np.ndarray) -> DataFrame:
     return df.select(key, "v").mapInPandas(run, f"{key} long, v array<double>")
 
 
-def svd(entries: DataFrame, k: int = 50, rounds: int = 6, seed: int = 0) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """(row, v), singular values, (col, v) of the sparse matrix entries (row, col, value), by subspace iteration.
+#: Bytes of a factor that is sent to all tasks at most; beyond it, products are joins.
+BROADCAST_BYTES = 64 << 20
+#: The change of the singular values in a round, as a share of the largest, at which they count as settled.
+SETTLED = 1e-4
+_BLOCKS = 32
 
-    Products with the matrix are joins on the entries, and each round writes one table of k numbers for
-    each column; the driver holds k x k matrices only. The order of the vectors is that of the values.
+
+def svd(entries: DataFrame, k: int = 50, rounds: int = 8, seed: int = 0, settled: float = SETTLED, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """(row, v), singular values, (col, v) of the sparse matrix entries (row, col, value), in rounds that end when the values have settled.
+
+    While a factor fits broadcast_bytes it is sent to the entries, whose products are summed by blocks of rows
+    (the driver holds two factors for each round, which make a space by block Lanczos); larger ones are
+    joined with the entries, by subspace iteration.
+    The order of the vectors is that of the values. A matrix without entries has no vectors.
     """
     entries = written(entries.select("row", "col", F.col("value").cast("double").alias("value")), "entries")
     rows, cols = entries.agg(F.count_distinct("row"), F.count_distinct("col")).first()
+    if not rows:
+        none = F.array().cast("array<double>").alias("v")
+        return entries.select("row", none), np.zeros(0), entries.select("col", none)
     k = max(1, min(k, rows, cols))
+    if 8 * (k + 10) * max(rows, cols) <= broadcast_bytes:
+        return _svd_sent(entries, k, rounds, seed, settled)
+    return _svd_joined(entries, k, rounds, seed, settled)
+
+
+def _svd_sent(entries: DataFrame, k: int, rounds: int, seed: int, settled: float) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    spark = entries.sparkSession
+    ids = {n: np.sort(entries.select(n).distinct().toPandas()[n].to_numpy()) for n in ("row", "col")}
+    every = spark.sparkContext.broadcast(ids)
+
+    def times(factor: np.ndarray, into: str, of: str) -> np.ndarray:
+        """The matrix, or its transpose, times factor."""
+        sent, n, width = spark.sparkContext.broadcast(factor), len(ids[into]), factor.shape[1]
+
+        def part(batches):
+            total = np.zeros((n, width))
+            for b in batches:
+                to, at = (np.searchsorted(every.value[x], b.column(x).to_numpy()) for x in (into, of))
+                order = np.argsort(to, kind="stable")
+                found, starts = np.unique(to[order], return_index=True)
+                if len(found):
+                    total[found] += np.add.reduceat((sent.value[at] * b.column("value").to_numpy()[:, None])[order], starts)
+            touched = np.flatnonzero(total.any(1))
+            for block, places in enumerate(np.array_split(np.arange(n), _BLOCKS)):
+                own = touched[(touched >= places[0]) & (touched <= places[-1])] if len(places) else touched[:0]
+                if len(own):
+                    yield pa.RecordBatch.from_pydict({"block": [block], "places": [own.astype("<i8").tobytes()], "sums": [total[own].tobytes()]})
+
+        def together(t: pa.Table) -> pa.Table:
+            total = np.zeros((n, width))
+            for places, sums in zip(t.column("places").to_pylist(), t.column("sums").to_pylist()):
+                total[np.frombuffer(places, "<i8")] += np.frombuffer(sums).reshape(-1, width)
+            own = np.flatnonzero(total.any(1))
+            return pa.table({"places": [own.astype("<i8").tobytes()], "sums": [total[own].tobytes()]})
+
+        parts = entries.mapInArrow(part, "block long, places binary, sums binary")
+        out = np.zeros((n, width))
+        for r in parts.groupBy("block").applyInArrow(together, "places binary, sums binary").collect():
+            out[np.frombuffer(r.places, "<i8")] = np.frombuffer(r.sums).reshape(-1, width)
+        sent.unpersist()
+        return out
+
+    # Block Lanczos with full orthogonalisation: each round widens the space by one block, and the values are
+    # those of the matrix on the whole space so far.
+    n_cols = len(ids["col"])
+    wide = min(k + 10, len(ids["row"]), n_cols)
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((n_cols, wide)))[0]
+    space, images, before = np.zeros((n_cols, 0)), np.zeros((len(ids["row"]), 0)), None
+    for _ in range(max(1, rounds)):
+        space, images = np.hstack([space, block]), np.hstack([images, times(block, "row", "col")])
+        values, vectors = np.linalg.eigh(images.T @ images)
+        s, turn = np.sqrt(np.maximum(values[::-1][:k], 0)), vectors[:, ::-1][:, :k]
+        if before is not None and np.abs(s - before).max() <= settled * max(s[0], 1e-300):
+            break
+        before, room = s, min(wide, n_cols - space.shape[1])
+        block = times(images[:, -block.shape[1] :], "col", "row")
+        for _ in range(2):
+            block -= space @ (space.T @ block)
+        block, left_over = np.linalg.qr(block)
+        block = block[:, np.abs(np.diag(left_over)) > 1e-9 * max(s[0] ** 2, 1e-300)][:, :room]
+        if not block.shape[1]:
+            break
+        block -= space @ (space.T @ block)
+        block = np.linalg.qr(block)[0]
+    left, right = images @ turn * np.where(s > 1e-9, 1 / np.maximum(s, 1e-9), 0), space @ turn
+    frame = lambda name, m: written(spark.createDataFrame(pa.table({name: pa.array(ids[name], pa.int64()), "v": list(m)})), name)
+    return frame("row", left), s, frame("col", right)
+
+
+def _svd_joined(entries: DataFrame, k: int, rounds: int, seed: int, settled: float) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Products with the matrix are joins on the entries, and each round writes one table of k numbers for
+    each column; the driver holds k x k matrices only."""
     start = [((F.xxhash64("col", F.lit(seed * 1000 + i)) % 2000003) / 2000003.0) for i in range(k)]
     right, s = entries.select("col").distinct().select("col", F.array(*start).alias("v")), np.zeros(k)
 
@@ -62,7 +147,10 @@ def svd(entries: DataFrame, k: int = 50, rounds: int = 6, seed: int = 0) -> tupl
         order = np.argsort(-values)
         values, vectors = np.maximum(values[order], 0), vectors[:, order]
         scale = np.where(values > 1e-14 * max(values[0], 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
-        right, s = _times(product, "col", vectors * scale), values**0.25  # the product is with the matrix and its transpose
+        before, s = s, values**0.25  # the product is with the matrix and its transpose
+        right = _times(product, "col", vectors * scale)
+        if np.abs(s - before).max() <= settled * max(s.max(), 1e-300):
+            break
     right = written(right, "right")
     left = _times(through(right, "col", "row"), "row", np.diag(np.where(s > 1e-9, 1 / np.maximum(s, 1e-9), 0)))
     return left, s, right
@@ -83,7 +171,7 @@ def kmeans(vectors: DataFrame, key: str, k: int = 200, rounds: int = 100, seed:
 
 def assign(vectors: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
     """key and the cluster of largest dot product; centroids (cluster_id, c) are a list of a fixed length."""
-    every = vectors.join(F.broadcast(centroids.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
+    every = vectors.crossJoin(F.broadcast(centroids))
     return every.groupBy(key).agg(F.max(F.struct(dot(F.col("v"), F.col("c")).alias("d"), (-F.col("cluster_id")).alias("n"))).alias("x")).select(key, (-F.col("x.n")).alias("cluster_id"))
 
 
@@ -100,13 +188,32 @@ def cluster_members(clusters: DataFrame, weights: DataFrame, key: str) -> DataFr
 
 def nearest(vectors: DataFrame, probes: list[int], n: int = 20) -> DataFrame:
     """The n nearest repos (repo_id, v) by cosine of each of a few given ones."""
-    p = F.broadcast(vectors.where(F.col("repo_id").isin(probes)).select(F.col("repo_id").alias("probe_id"), F.col("v").alias("p"), F.lit(1).alias("one")))
-    rows = vectors.join(p, F.lit(1) == F.col("one")).where("repo_id <> probe_id")
+    p = F.broadcast(vectors.where(F.col("repo_id").isin(probes)).select(F.col("repo_id").alias("probe_id"), F.col("v").alias("p")))
+    rows = vectors.crossJoin(p).where("repo_id <> probe_id")
     rows = rows.select("probe_id", "repo_id", xdiv(dot(F.col("v"), F.col("p")), norm(F.col("v")) * norm(F.col("p"))).alias("cosine"))
     k = F.row_number().over(Window.partitionBy("probe_id").orderBy(F.desc("cosine"), "repo_id"))
     return rows.withColumn("rank", k).where(F.col("rank") <= n)
 
 
+def contrastive_pairs(watches: DataFrame, repos: DataFrame, negatives: int = 1, seed: int = 0) -> DataFrame:
+    """user_id, repo_id, positive: every watch, and for each up to negatives repos that the user doesn't
+    watch, drawn by a hash among all repos, so that a run gives the same ones again; a draw that is watched goes."""
+    good = watches.select("user_id", "repo_id", F.lit(True).alias("positive"))
+    if not negatives:
+        return good
+    ids = repos.select("repo_id").distinct()
+    n = max(ids.count(), 1)
+    # Dense numbers by buckets of a hash, so that no task orders all repos.
+    parts = 1 + n // 100_000
+    ids = ids.withColumn("part", F.pmod(F.xxhash64("repo_id"), F.lit(parts)))
+    ahead = ids.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("repo_id")) - 1).join(ahead, "part").select("repo_id", (F.col("k") + F.col("ahead")).alias("draw"))
+    drawn = watches.select("user_id", "repo_id", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("i"))
+    drawn = drawn.select("user_id", F.pmod(F.xxhash64("user_id", "repo_id", "i", F.lit(seed)), F.lit(n)).alias("draw")).join(ids, "draw").select("user_id", "repo_id").distinct()
+    bad = drawn.join(watches, ["user_id", "repo_id"], "left_anti").withColumn("positive", F.lit(False))
+    return good.unionByName(bad)
+
+
 # Matrices as (row, col, value).
 def transpose(m: DataFrame) -> DataFrame:
     return m.select(F.col("col").alias("row"), F.col("row").alias("col"), "value")

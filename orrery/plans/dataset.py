@@ -5,10 +5,11 @@ The statements read alike in Spark SQL and in DuckDB, so the same graph is the i
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.plans.materialize import written
 from orrery.plans.ship import ship
 
 VIEWS = {
@@ -71,16 +72,33 @@ class WatchDataset:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> WatchDataset:
+        return _OfTables(spark, sf_dir)
+
+    def replaced(self, **tables: DataFrame) -> WatchDataset:
+        """This graph with some tables in place of its own."""
+        return WatchDataset(**{f.name: tables[f.name] if f.name in tables else getattr(self, f.name) for f in fields(WatchDataset)})
+
+
+class _OfTables(WatchDataset):
+    """The graph of the driver's tables, each of its tables derived when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
         ship(spark)
-        # Views are resolved as the statements are read, so a later dataset's views don't change this one.
-        for t in {t for need in _NEEDS.values() for t in need}:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        out = {}
-        for name, sql in VIEWS.items():
-            out[name] = spark.sql(sql)
-            if name == "watches":
-                out[name].createOrReplaceTempView(name)
-        return cls(**out)
+        self._spark, self._sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in VIEWS:
+            raise AttributeError(name)
+        # Views are resolved as the statement is read, so another dataset's views of these names don't change this one.
+        for t in _NEEDS[name]:
+            self._spark.read.parquet(f"{self._sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        if name == "test_users":
+            self.watches.createOrReplaceTempView("watches")
+        table = self._spark.sql(VIEWS[name])
+        # Watches are a join and a distinct that most queries use several times, and test users come from them.
+        table = written(table, name) if name in ("watches", "test_users") else table
+        setattr(self, name, table)
+        return table
 
 
 def with_views(sql: str) -> str:

@@ -727,7 +727,7 @@ def rk03_relations(d):
 
 @query()
 def rk03_id_range(d):
-    return feat.id_range(_pairs(d), *graph.id_ranges(d.watches))
+    return feat.id_range(_pairs(d), *graph.id_ranges(d.watches), d.watches)
 
 
 @query()
@@ -889,3 +889,78 @@ def eval07_possible_only(d):
     c = _c(d)
     rows = _lists(d, c).where("keep").join(c.watched, ["user_id", "repo_id"], "left_anti").select("user_id", "repo_id").distinct()
     return rows.agg(F.count("*").alias("choices"), F.count_distinct("user_id").alias("users"))
+
+
+@query("SELECT t.user_id, t.answer AS repo_id, (SELECT count(DISTINCT follower_id) FROM follows f WHERE f.followed_id = t.user_id) AS n_followers, (SELECT count(DISTINCT followed_id) FROM follows f WHERE f.follower_id = t.user_id) AS n_following FROM test_users t")
+def rk03_follow_counts(d):
+    return feat.follow_counts(_pairs(d), d.follows)
+
+
+@query(f"""WITH {INFERRED}, known AS (SELECT author_name, num_followers, num_following, min(created_day) AS joined FROM authors LEFT JOIN repos USING (author_name) GROUP BY ALL),
+own AS (SELECT user_id, min(joined) AS own_joined, max(num_followers) AS own_followers, max(num_following) AS own_following FROM inferred JOIN known USING (author_name) GROUP BY user_id)
+SELECT t.user_id, t.answer AS repo_id, coalesce(k.joined, 0) AS author_joined, r.created_day - coalesce(k.joined, 0) AS repo_after_author, coalesce(own_joined, 10000) AS own_joined, r.created_day - coalesce(own_joined, 10000) AS repo_after_own,
+coalesce(k.joined, 0) - coalesce(own_joined, 10000) AS author_after_own, coalesce(own_followers, -1) AS own_followers, coalesce(own_following, -1) AS own_following
+FROM test_users t LEFT JOIN repos r ON r.repo_id = t.answer LEFT JOIN known k ON k.author_name = r.author_name LEFT JOIN own ON own.user_id = t.user_id""")
+def rk03_author_dates(d):
+    return feat.author_dates(_pairs(d), d.repos, d.authors, graph.infer_authors(d.watches, d.repos))
+
+
+@query(f"""WITH {COOC}, {W}, n AS (SELECT user_id, count(*) AS n FROM w GROUP BY 1), met AS (SELECT a, count(*) FILTER (in_cooc) AS m1, count(*) AS m2 FROM cooc GROUP BY 1)
+SELECT t.user_id, t.answer AS repo_id, round(coalesce(sum(cooc), 0) / any_value(n.n), 6) AS r_cooc_share, round(coalesce(sum(cooc2), 0) / any_value(n.n), 6) AS r_cooc2_share, coalesce(any_value(m1), 0) AS r_cooc_met, coalesce(any_value(m2), 0) AS r_cooc2_met
+FROM test_users t LEFT JOIN w ON w.user_id = t.user_id LEFT JOIN cooc c ON c.a = t.answer AND c.b = w.repo_id LEFT JOIN n ON n.user_id = t.user_id LEFT JOIN met ON met.a = t.answer GROUP BY t.user_id, t.answer""")
+def rk03_cooccurrence_sizes(d):
+    c = _c(d)
+    x = feat.cooccurrence_sizes(_pairs(d), c.watched, c.cooc, "r").select("user_id", "repo_id", "r_cooc_share", "r_cooc2_share", "r_cooc_met", "r_cooc2_met")
+    return _round(x, "r_cooc_share", "r_cooc2_share")
+
+
+UCOOC = (
+    "ug AS (SELECT repo_id, count(*) AS n FROM watches GROUP BY repo_id HAVING count(*) BETWEEN 2 AND 50), "
+    "ucooc AS (SELECT a.user_id AS a, b.user_id AS b, sum(CASE WHEN n <= 20 THEN 1.0::DOUBLE / (n * n) ELSE 0 END) AS cooc, sum(1.0::DOUBLE / n) AS cooc2, bool_or(n <= 20) AS in_cooc "
+    "FROM watches a JOIN watches b ON a.repo_id = b.repo_id AND a.user_id <> b.user_id JOIN ug ON ug.repo_id = a.repo_id GROUP BY a.user_id, b.user_id)"
+)
+
+
+@query(f"""WITH {UCOOC}, n AS (SELECT repo_id, count(*) AS n FROM watches GROUP BY 1), met AS (SELECT a, count(*) FILTER (in_cooc) AS m1, count(*) AS m2 FROM ucooc GROUP BY 1)
+SELECT t.user_id, t.answer AS repo_id, round(coalesce(sum(cooc), 0), 6) AS u_cooc_total, round(coalesce(max(cooc), 0), 6) AS u_cooc_max, round(coalesce(sum(cooc2), 0), 6) AS u_cooc2_total, round(coalesce(sum(cooc), 0) / any_value(n.n), 6) AS u_cooc_share, coalesce(any_value(m1), 0) AS u_cooc_met, coalesce(any_value(m2), 0) AS u_cooc2_met
+FROM test_users t LEFT JOIN watches w ON w.repo_id = t.answer LEFT JOIN ucooc c ON c.a = t.user_id AND c.b = w.user_id LEFT JOIN n ON n.repo_id = t.answer LEFT JOIN met ON met.a = t.user_id GROUP BY t.user_id, t.answer""")
+def rk03_user_cooccurrence(d):
+    x = feat.cooccurrence_sizes(_pairs(d), d.watches, graph.cooccurrence(d.watches, "repo_id", "user_id"), "u", user_side=True)
+    names = ("u_cooc_total", "u_cooc_max", "u_cooc2_total", "u_cooc_share")
+    return _round(x.select("user_id", "repo_id", *names, "u_cooc_met", "u_cooc2_met"), *names)
+
+
+@query(f"""WITH {INFERRED}, v AS (SELECT repo_id AS user_id, embedding::DOUBLE[] AS e FROM vectors)
+SELECT t.user_id, t.answer AS repo_id, round(coalesce(max(list_dot_product(a.e, b.e)), -2), 6) AS author_best_dot, round(coalesce(max(list_cosine_similarity(a.e, b.e)), -2), 6) AS author_best_cosine
+FROM test_users t JOIN repos r ON r.repo_id = t.answer LEFT JOIN inferred i ON i.author_name = r.author_name LEFT JOIN v a ON a.user_id = t.user_id LEFT JOIN v b ON b.user_id = i.user_id GROUP BY t.user_id, t.answer""")
+def rk03_author_similarity(d):
+    """Vectors of the embeddings table stand for the users' of their number."""
+    v = d.vectors.select(F.col("repo_id").alias("user_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return _round(feat.author_similarity(_pairs(d), d.repos, graph.infer_authors(d.watches, d.repos), v), "author_best_dot", "author_best_cosine")
+
+
+@query(f"""WITH {W}, v AS (SELECT repo_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM vectors), held AS (SELECT user_id, count(*) AS h FROM w GROUP BY 1),
+m AS (SELECT user_id, i, sum(e[i] / n) / any_value(h) AS x FROM w JOIN held USING (user_id) JOIN v USING (repo_id), range(1, 65) t(i) GROUP BY user_id, i), u AS (SELECT user_id, list(x ORDER BY i) AS u FROM m GROUP BY user_id),
+x AS (SELECT t.user_id, t.answer AS repo_id, u, e, n, CASE WHEN u IS NOT NULL AND e IS NOT NULL THEN list_transform(range(1, 65), lambda i: u[i] * e[i]) END AS p FROM test_users t LEFT JOIN u ON u.user_id = t.user_id LEFT JOIN v ON v.repo_id = t.answer)
+SELECT user_id, repo_id, round(list_max(u), 6) AS kw_user_max, round(list_max(e), 6) AS kw_repo_max, round(list_sum(p), 6) AS kw_total, round(list_max(p), 6) AS kw_max, round(list_sum(p) / n, 6) AS kw_total_norm FROM x""")
+def rk03_keyword_vectors(d):
+    v = d.vectors.select("repo_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    names = ("kw_user_max", "kw_repo_max", "kw_total", "kw_max", "kw_total_norm")
+    return _round(feat.keyword_vectors(_pairs(d), _c(d).watched, v).select("user_id", "repo_id", *names), *names)
+
+
+@query()
+def snk09_range_matches(d):
+    users, repos = graph.id_ranges(d.watches)
+    found = ev.range_matches(users, users, repos, d.repos, d.watches)
+    return users.select("user_id").distinct().join(found, "user_id", "left").withColumn("n", F.coalesce(F.size("repos"), F.lit(0)))
+
+
+@query("SELECT w.user_id, w.repo_id, true AS positive FROM watches w")
+def ml17_positive_pairs(d):
+    return ml.contrastive_pairs(d.watches, d.repos, 0)
+
+
+@query()
+def ml17_contrastive_pairs(d):
+    return ml.contrastive_pairs(d.watches, d.repos, 2)

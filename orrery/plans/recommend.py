@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from orrery.operators import candidates as cand
 from orrery.operators import evaluation as ev
 from orrery.operators import features as feat
-from orrery.operators import graph, ml, ranking
+from orrery.operators import graph, keywords, ml, property_graph, ranking
+from orrery.plans.config import Config
 from orrery.plans.dataset import WatchDataset
 from orrery.plans.materialize import written
 from orrery.sources import sinks
@@ -26,11 +27,29 @@ class Settings:
     bags: int = 5
     walk_rounds: int = 20
     svd_rank: int = 50
+    keyword_rank: int = 100
     clusters: int = 200
     tranche_sources: str = "10"
     tranche_ranker: str = "01"
 
 
+    @classmethod
+    def of(cls, config: Config, block: str = "") -> Settings:
+        """Settings of a configuration's block; what isn't named there stays as it is."""
+        out, at = cls(), f"{block}." if block else ""
+        for name, now in list(vars(out).items()):
+            if (found := config.find(at + name)) is None:
+                continue
+            if isinstance(now, list):
+                value = config.names(at + name)
+            elif isinstance(now, dict):
+                value = {k.strip(): int(n) for k, _, n in (x.partition(":") for x in found.split(",") if x.strip())}
+            else:
+                value = type(now)(found)
+            setattr(out, name, value)
+        return out
+
+
 @dataclass
 class Models:
     """The models of the sources, the ranker's bags, and a second ranker; with the names of their features."""
@@ -44,10 +63,13 @@ class Models:
 class Run:
     """A dataset with what its runs share: vectors, clusters, walk, and the lists of the sources."""
 
-    def __init__(self, data: WatchDataset, users: DataFrame, settings: Settings | None = None):
+    def __init__(self, data: WatchDataset, users: DataFrame, settings: Settings | None = None, api: DataFrame | None = None):
+        """api: repo_id, num_watches, num_forks as an interface reports them, where they are known."""
+        self.api = api
         self.data, self.users, self.settings = data, users.select("user_id").distinct(), settings or Settings()
         self.walk = tuple(written(x, "walk") for x in graph.random_walk(data.watches, rounds=self.settings.walk_rounds))
         self.context = cand.Context(data, self.users, most=self.settings.most_entries)
+        self.own: dict[str, list[str]] = {}  # the sources' own features
 
     def factorise(self) -> None:
         """Vectors of repos and users from the watch matrix, centroids of users, clusters of both."""
@@ -56,7 +78,14 @@ class Run:
         self.repo_vectors = written(left.select(F.col("row").alias("repo_id"), "v"), "repo-vectors")
         self.user_vectors = written(right.select(F.col("col").alias("user_id"), "v"), "user-vectors")
         self.singular, self.centroids = [float(x) for x in s], written(ml.user_centroids(w, self.repo_vectors), "centroids")
-        self.repo_clusters = written(ml.kmeans(self.repo_vectors, "repo_id", self.settings.clusters), "repo-clusters")
+        self.keywords = written(keywords.tf_idf(keywords.tokens(self.data.descriptions.select("repo_id", F.col("description").alias("text"))), max(self.data.repos.count(), 1)), "keywords")
+        ids = property_graph.dense_ids(self.keywords.select("token").distinct(), ["token"]).withColumnRenamed("id", "row")
+        _, _, words = ml.svd(self.keywords.join(ids, "token").select("row", F.col("repo_id").alias("col"), F.col("tf").alias("value")), k=self.settings.keyword_rank)
+        self.keyword_vectors = written(words.select(F.col("col").alias("repo_id"), "v"), "keyword-vectors")
+        # Repos are clustered by both vectors; those without keywords belong to no cluster. Without any keywords, by watches alone.
+        both = self.repo_vectors.join(self.keyword_vectors.withColumnRenamed("v", "kv"), "repo_id").select("repo_id", F.concat("v", "kv").alias("v"))
+        grouped = self.repo_vectors if self.keyword_vectors.isEmpty() else both
+        self.repo_clusters = written(ml.kmeans(grouped, "repo_id", self.settings.clusters), "repo-clusters")
         self.user_clusters = written(ml.kmeans(self.user_vectors, "user_id", self.settings.clusters), "user-clusters")
         self.data.vectors = self.repo_clusters.join(self.repo_vectors, "repo_id").select("repo_id", "cluster_id", F.col("v").alias("embedding"))
         self.context.user_clusters = self.user_clusters.join(self.user_vectors, "user_id").select("user_id", "cluster_id", F.col("v").alias("embedding"))
@@ -64,6 +93,7 @@ class Run:
     def source_rows(self, name: str) -> tuple[DataFrame, list[str]]:
         """Candidates of a source with the common features and its own, and their names."""
         rows = written(cand.source(name)(self.context), name)
+        self.own[name] = [c for c in rows.columns if c not in ("user_id", "repo_id")]
         common = cand.common_features(self.context, rows.select("user_id", "repo_id"), self.walk)
         out = written(rows.join(common, ["user_id", "repo_id"]), f"{name}-features")
         names = [c for c in out.columns if c not in ("user_id", "repo_id")]
@@ -78,7 +108,8 @@ class Run:
                 rows = ml.score(models.sources[name][0], rows, names)
             else:
                 rows = rows.withColumn("score", F.col("n_watchers") / (1 + F.col("n_watchers")))
-            rows = rows.select("user_id", "repo_id", F.lit(name).alias("source"), "score")
+            own = F.create_map(*(x for c in self.own[name] for x in (F.lit(f"{name}_{c}"), F.col(c)))) if self.own[name] else F.create_map().cast("map<string,double>")
+            rows = rows.select("user_id", "repo_id", F.lit(name).alias("source"), "score", own.alias("own"))
             out = rows if out is None else out.unionByName(rows)
         by = ["user_id", "source"]
         sized = ranking.ranked(out, by).withColumn("size", F.count("*").over(ranking.Window.partitionBy(*by)))
@@ -90,7 +121,15 @@ class Run:
     def candidates(self, models: Models, with_watched: bool = False) -> DataFrame:
         """Merged candidates with the generator's features. with_watched keeps W, for training."""
         seen = self.context.watched.limit(0) if with_watched else self.context.watched
-        return written(ranking.merge(self.lists(models), seen, self.settings.sources), "merged")
+        lists = self.lists(models)
+        merged = ranking.merge(lists, seen, self.settings.sources)
+        names = [f"{s}_{c}" for s in self.settings.sources for c in self.own[s]]
+        if names:  # a map for each source that kept the candidate, so a group has as many as there are sources
+            every = F.map_from_entries(F.flatten(F.collect_list(F.map_entries("own"))))
+            own = lists.where("keep").groupBy("user_id", "repo_id").agg(every.alias("own"))
+            own = own.select("user_id", "repo_id", *(F.col("own")[n].alias(n) for n in names))
+            merged = merged.join(own, ["user_id", "repo_id"], "left")
+        return written(merged, "merged")
 
     def featured(self, merged: DataFrame) -> tuple[DataFrame, list[str]]:
         """Candidates with the features of users and of (user, repo) pairs besides the generator's, and their names."""
@@ -101,14 +140,23 @@ class Run:
             feat.language_match(pairs, d.watches, d.repo_languages),
             feat.name_author(pairs, d.repos, d.watches),
             feat.inference(pairs, d.repos, c.inferred),
-            feat.cooccurrence(pairs, c.watched, c.cooc, "repo"),
-            feat.dates(pairs, d.repos, d.authors, c.inferred),
-            feat.id_range(pairs, *graph.id_ranges(d.watches)),
+            feat.cooccurrence_sizes(pairs, c.watched, c.cooc, "repo"),
+            feat.cooccurrence_sizes(pairs, d.watches, c.user_cooc, "user", user_side=True),
+            feat.dates(pairs, d.repos, d.authors, c.inferred).select(*on, "created_day", "author_followers", "author_following"),
+            feat.author_dates(pairs, d.repos, d.authors, c.inferred),
+            feat.follow_counts(pairs, d.follows),
+            feat.id_range(pairs, *graph.id_ranges(d.watches), d.watches),
             feat.relations(pairs, d.repos, c.inferred, d.follows, d.watches),
         ]
         if hasattr(self, "repo_vectors"):
             groups.append(feat.vectors(pairs, self.user_vectors, self.repo_vectors, self.centroids, self.singular))
             groups.append(feat.best_against_watched(pairs, c.watched, self.repo_vectors, "svd"))
+            groups.append(feat.best_against_watched(pairs, c.watched, self.keyword_vectors, "kw"))
+            groups.append(feat.author_similarity(pairs, d.repos, c.inferred, self.user_vectors))
+            groups.append(feat.keyword_vectors(pairs, c.watched, self.keyword_vectors))
+            groups.append(feat.keyword_overlap(pairs, c.watched, self.keywords))
+        if self.api is not None:
+            groups.append(feat.api_counts(pairs, c.counted, graph.children(d.repos), self.api))
         out = ranking.heuristic(merged, ["user_id"]).withColumnRenamed("score", "score_sum").drop("position", "min_rank", "max_rank")
         for g in groups:
             out = out.join(g.drop(*(x for x in g.columns if x in out.columns and x not in on)), on, "left")
@@ -161,7 +209,7 @@ class Run:
 def leave_one_out(data: WatchDataset, users: DataFrame, settings: Settings | None = None, factorise: bool = False) -> tuple[Run, DataFrame]:
     """A run over the watches without one held-out watch for each user, everything derived worked out anew, and the answers."""
     stay, held = ev.leave_one_out(data.watches, users)
-    fresh = WatchDataset(**{**data.__dict__, "watches": written(stay, "stay"), "test_users": held})
+    fresh = data.replaced(watches=written(stay, "stay"), test_users=held)
     run = Run(fresh, held, settings)
     if factorise:
         run.factorise()

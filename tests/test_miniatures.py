@@ -188,3 +188,71 @@ def test_split_keeps_groups(spark):
 def test_buckets_and_division(spark):
     got = spark.createDataFrame([(0,), (11,), (1000,), (1001,)], "v int").select(numbers.bucket(F.col("v")).alias("b"), numbers.xdiv(F.lit(1.0), F.col("v")).alias("x")).collect()
     assert [r.b for r in got] == [0, 12, 1000, None] and got[0].x == 0.0
+
+
+def test_long_chains_and_cycles_have_all_their_ancestors(spark):
+    chain = [(i, i - 1 if i > 1 else None) for i in range(1, 1001)] + [(2000 + i, 2000 + (i + 1) % 90) for i in range(90)]
+    repos = spark.createDataFrame(chain, "repo_id long, parent_id long")
+    got = {r.repo_id: (r.depth, len(r.ancestors), r.ancestors[:1]) for r in graph.depths(repos).where("repo_id in (1, 2, 200, 1000, 2005)").collect()}
+    assert got[1] == (0, 0, []) and got[2] == (1, 1, [1]) and got[200] == (199, 199, [1]) and got[1000] == (999, 999, [1])
+    assert got[2005] == (89, 89, [2004])
+
+
+def test_walk_and_cooccurrence_hold_their_laws(spark):
+    w = spark.createDataFrame([(u, r) for u in range(12) for r in range(9) if (u * 7 + r * 5 + u * r) % 5 == 0], "user_id long, repo_id long")
+    repo, user = graph.random_walk(w, rounds=5)
+    assert abs(repo.agg(F.sum("prob")).first()[0] - 1) < 1e-9 and abs(user.agg(F.sum("prob")).first()[0] - 1) < 1e-9
+    pairs = {(r.a, r.b): (r.cooc, r.cooc2) for r in graph.cooccurrence(w, "user_id", "repo_id").collect()}
+    assert pairs and all(pairs[b, a] == x for (a, b), x in pairs.items())
+    every = {tuple(r) for r in graph.propagate(w).where("user_id in (1, 4)").collect()}
+    assert {tuple(r) for r in graph.propagate(w, w.where("user_id in (1, 4)")).collect()} == every != set()
+
+
+def test_both_ways_of_factorising_agree(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    m = rnd.random((25, 3)) * [9, 5, 3] @ rnd.standard_normal((3, 18)) + 0.01 * rnd.random((25, 18))
+    rows = spark.createDataFrame([(100 + int(i), 7 * int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "row long, col long, value double")
+    for size in (0, 64 << 20):
+        left, s, right = ml.svd(rows, k=3, rounds=12, settled=1e-10, broadcast_bytes=size)
+        u, v = ({r[0]: np.array(r.v) for r in x.collect()} for x in (left, right))
+        assert np.allclose(s, np.linalg.svd(m)[1][:3], rtol=1e-4)
+        best = np.linalg.svd(m)
+        close = best[0][:, :3] * best[1][:3] @ best[2][:3]
+        assert np.abs(np.array([[u[100 + i] @ (s * v[7 * j]) for j in range(18)] for i in range(25)]) - close).max() < 1e-2
+    empty = ml.svd(rows.limit(0), k=3)
+    assert empty[0].count() == empty[2].count() == 0
+
+
+def test_id_ranges_as_features_and_matches(spark):
+    from orrery.operators import features
+
+    users = spark.createDataFrame([(1, 10, 14), (2, 20, 21)], "user_id long, min_repo long, max_repo long")
+    repos = spark.createDataFrame([(11, 1, 1), (12, 1, 3), (20, 2, 2)], "repo_id long, min_user long, max_user long")
+    watches = spark.createDataFrame([(1, 30), (2, 20), (9, 11), (2, 12)], "user_id long, repo_id long")
+    pairs = spark.createDataFrame([(1, 11), (2, 20), (3, 40)], "user_id long, repo_id long")
+    got = {(r.user_id, r.repo_id): tuple(r)[2:] for r in features.id_range(pairs, users, repos, watches).collect()}
+    # in user range, in repo range, sizes of both, suspicious user and repo, score
+    assert got == {(1, 11): (1, 1, 4, 0, 1, 1, 8), (2, 20): (1, 1, 1, 0, 0, 0, 2), (3, 40): (0, 0, 0, 0, 1, 1, 0)}
+    every = spark.createDataFrame([(k,) for k in range(10, 22)], "repo_id long")
+    found = {r.user_id: r.repos for r in evaluation.range_matches(users, users, repos, every, watches).collect()}
+    assert found == {1: [11, 10, 12, 13, 14]}  # 11 is first watched by 9, beyond its range; 2 watches inside its own
+
+
+def test_contrastive_pairs(spark):
+    w = spark.createDataFrame([(u, r) for u in range(20) for r in range(u % 5)], "user_id long, repo_id long")
+    repos = spark.createDataFrame([(r,) for r in range(50)], "repo_id long")
+    rows = ml.contrastive_pairs(w, repos, 3).collect()
+    seen = {tuple(r) for r in w.collect()}
+    good, bad = ({(r.user_id, r.repo_id) for r in rows if r.positive == p} for p in (True, False))
+    assert good == seen and bad and not bad & seen and len(rows) == len(good) + len(bad) <= 4 * len(seen)
+    assert {tuple(r) for r in ml.contrastive_pairs(w, repos, 3).collect()} == {tuple(r) for r in rows}
+
+
+def test_api_counts(spark):
+    from orrery.operators import features
+
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    rows = features.api_counts(one([(1, 5), (1, 6)], "user_id long, repo_id long"), one([(5, 2)], "repo_id long, n_watchers long"), one([(5, 1)], "repo_id long, n_children long"), one([(5, 9, 4)], "repo_id long, num_watches long, num_forks long"))
+    assert {tuple(r) for r in rows.collect()} == {(1, 5, 9, 7, 4, 3), (1, 6, -1, -1, -1, -1)}

@@ -41,3 +41,26 @@ def test_config():
 def test_unknown_source():
     with pytest.raises(KeyError):
         candidates.source("nothing")
+
+
+def test_settings_of_a_configuration():
+    config = Config.parse("generator { sources = coocs, same_name; bags = 2; most_entries = coocs:7, same_name:9; least_score = 0.25; } ranker = default;")
+    s = recommend.Settings.of(config, "generator")
+    assert s.sources == ["coocs", "same_name"] and s.bags == 2 and s.most_entries == {"coocs": 7, "same_name": 9} and s.least_score == 0.25 and s.ranker == "default" and s.svd_rank == 50
+
+
+def test_own_features_reach_the_ranker_and_a_second_model_ranks_again(spark, sf):
+    data = WatchDataset.from_tables(spark, sf)
+    api = data.repos.select("repo_id", F.lit(3).alias("num_watches"), F.lit(1).alias("num_forks"))
+    settings = recommend.Settings(sources=["parents_of_watched", "same_name", "coocs2"], bags=1, walk_rounds=2, svd_rank=4, keyword_rank=3, clusters=4, ranker="reranker")
+    stay, held = evaluation.leave_one_out(data.watches, data.watches.select("user_id").distinct().where("user_id % 3 = 1"))
+    run = recommend.Run(data.replaced(watches=stay, test_users=held), held, settings, api)
+    run.factorise()
+    models = run.train(held)
+    wanted = {"same_name_n_watched", "same_name_unwatched_rank", "coocs2_total", "coocs2_n", "kw_total", "kw_best_cosine", "tf_overlap", "author_best_dot", "user_cooc_total", "repo_cooc_met", "n_followers", "author_joined", "more_forks", "suspicious_user"}
+    assert wanted <= set(models.names) and len(models.names) == len(set(models.names))
+    assert models.second
+    first, second = run.rank(recommend.Models(models.sources, models.ranker, [], models.names)), run.rank(models)
+    assert first.count() == second.count() > 0
+    assert second.where("score < 0 or score > 1 or score is null").isEmpty()
+    assert {(r.user_id, r.repo_id) for r in first.collect()} == {(r.user_id, r.repo_id) for r in second.collect()}
