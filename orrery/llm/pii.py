@@ -57,13 +57,20 @@ def _let(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
+#: Values that are put together one after another; more are by places of 16, since that copies what came before.
+_FEW = 64
+
+
 def _running(values: str, highest: bool = False) -> str:
     """The sum, or the highest, of all values up to each one: of 16 places, then of 16 times as many, and so on."""
+    many = "v"
     for d in (16**k for k in range(7)):
         before = [f"get(a, i - {j * d})" for j in range(1, 16)]
         taken = f"greatest(x, {', '.join(before)})" if highest else "x + " + " + ".join(f"coalesce({g}, 0)" for g in before)
-        values = _let("a", values, f"if(size(a) > {d}, transform(a, (x, i) -> {taken}), a)")
-    return values
+        many = _let("a", many, f"if(size(a) > {d}, transform(a, (x, i) -> {taken}), a)")
+    last = "coalesce(get(s, size(s) - 1), 0)"
+    few = f"aggregate(v, cast(array() as array<int>), (s, x) -> concat(s, array({f'greatest({last}, x)' if highest else f'{last} + x'})))"
+    return _let("v", values, f"if(size(v) <= {_FEW}, {few}, {many})")
 
 
 def _starts(pieces: str, matches: str) -> str:
@@ -137,7 +144,7 @@ def contexts(spanned: DataFrame) -> DataFrame:
     spans = "transform(spans, s -> named_struct('at', s.start, 'o', 0, 'e', s.end, 'm', '', 'p', ''))"
     out = out.withColumn("_z", F.expr(f"case when _p is not null then {tokens} end"))
     inside = "(get(h, i) > x.at or coalesce(get(e, i + 1).o = 0 and get(e, i + 1).at < x.e, false))"
-    outside = _let("h", _running("transform(e, v -> if(v.o = 0, v.e, 0))", highest=True), f"filter(e, (x, i) -> x.o = 1 and not {inside})")
+    outside = _let("h", _running("transform(e, t -> if(t.o = 0, t.e, 0))", highest=True), f"filter(e, (x, i) -> x.o = 1 and not {inside})")
     outside = _let("e", f"sort_array(concat({spans}, _z))", outside)
     out = out.withColumn("_z", F.expr(f"case when _z is null or size(spans) = 0 then _z else {outside} end"))
     bare = f"regexp_replace(x.m, {_quoted(_TRAIL)}, '')"
@@ -249,7 +256,7 @@ def mask(docs: DataFrame) -> DataFrame:
     merged = "transform(f, (x, j) -> named_struct('s', x.s, 'e', get(h, coalesce(get(f, j + 1).i, size(o)) - 1), 'k', upper(x.k)))"
     parts = f"transform(m, (x, i) -> concat({_between('coalesce(get(m, i - 1).e, 0)', 'x.s')}, '[', x.k, ']'))"
     masked = f"concat(concat_ws('', {parts}), {_between('element_at(m, -1).e', 'length(text)')})"
-    for name, value in (("b", _BLOCKS), ("m", merged), ("f", firsts), ("h", _running("transform(o, v -> v.end)", highest=True)), ("o", "sort_array(_spans)")):
+    for name, value in (("b", _BLOCKS), ("m", merged), ("f", firsts), ("h", _running("transform(o, t -> t.end)", highest=True)), ("o", "sort_array(_spans)")):
         masked = _let(name, value, masked)
     text = F.expr(f"case when size(_spans) > 0 then {masked} else text end")
     return rows.select(*(text.alias("text") if c == "text" else F.col("_own_spans").alias("spans") if c == "spans" else F.col(c) for c in kept))
