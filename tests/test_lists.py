@@ -17,3 +17,32 @@ def test_sums_at_a_half_of_the_last_digit(spark):
     there = c.execute(ORACLES["rk03_cooccurrence"])
     names = [x[0] for x in there.description]
     assert sorted(map(tuple, QUERIES["rk03_cooccurrence"](spark, sf).select(*names).collect())) == sorted(there.fetchall())
+
+
+@pytest.fixture
+def never_whole(monkeypatch):
+    def whole(c):
+        raise AssertionError("the whole list was asked for")
+
+    monkeypatch.setitem(candidates.SOURCES, "same_name", whole)
+
+
+def test_first_of_alike_repos(spark):
+    """As the whole list, ranked and cut, with groups that are larger than the cut and users who watch many of a group."""
+    repos = spark.range(1, 61).select(F.col("id").alias("repo_id"), F.concat(F.lit("n"), (F.col("id") % 3).cast("string")).alias("name"), F.lit("a").alias("author_name"), F.lit(1).alias("created_day"), F.lit(None).cast("long").alias("parent_id"))
+    watches = spark.createDataFrame([(u, r) for u in range(1, 8) for r in range(1, 61) if (r * r + u * r) % 11 < u % 4], "user_id long, repo_id long")
+    empty = spark.range(0)
+    c = candidates.Context(WatchDataset(watches, repos, *[empty] * 7), watches.select("user_id").distinct())
+    counts = {r.repo_id: r["count"] for r in watches.groupBy("repo_id").count().collect()}
+    want = {}
+    for r in candidates.same_name(c).collect():
+        want.setdefault(r.user_id, []).append((counts.get(r.repo_id, 0), r.repo_id))
+    got = {}
+    for r in candidates.first_alike(c, "name", F.col("n_watchers"), most=5).collect():
+        got.setdefault(r.user_id, []).append((r.score, r.repo_id))
+        assert r.size == len(want[r.user_id])
+    assert got and {u: sorted(x, reverse=True) for u, x in got.items()} == {u: sorted(x, reverse=True)[:5] for u, x in want.items()}
+
+
+def test_incremental_stats_without_whole_lists(spark, sf, never_whole):
+    assert QUERIES["eval04_incremental_stats"](spark, sf).count() == 5
