@@ -46,3 +46,10 @@ def test_first_of_alike_repos(spark):
 
 def test_incremental_stats_without_whole_lists(spark, sf, never_whole):
     assert QUERIES["eval04_incremental_stats"](spark, sf).count() == 5
+
+
+def test_exclusion_without_a_shuffle_of_pairs(spark, sf):
+    """No exchange stands above the join that makes the pairs."""
+    plan = QUERIES["jn07_not_alike"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: min(plan.index(x) for x in ("BroadcastNestedLoopJoin", "CartesianProduct", "BroadcastHashJoin") if x in plan)]
+    assert "Exchange" not in above and "Join" not in above
