@@ -53,3 +53,9 @@ def test_exclusion_without_a_shuffle_of_pairs(spark, sf):
     plan = QUERIES["jn07_not_alike"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     above = plan[: min(plan.index(x) for x in ("BroadcastNestedLoopJoin", "CartesianProduct", "BroadcastHashJoin") if x in plan)]
     assert "Exchange" not in above and "Join" not in above
+
+
+def test_pairs_of_a_large_group_go_through_no_shuffle(spark, sf):
+    """All pairs of a name come from several tasks, after whose join there is no exchange."""
+    df = QUERIES["srce_same_name"](spark, sf)
+    assert "Exchange" not in (plan := df._jdf.queryExecution().executedPlan().toString())[: plan.index("Generate")] and "Generate" in plan
