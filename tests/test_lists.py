@@ -59,3 +59,9 @@ def test_pairs_of_a_large_group_go_through_no_shuffle(spark, sf):
     """All pairs of a name come from several tasks, after whose join there is no exchange."""
     df = QUERIES["srce_same_name"](spark, sf)
     assert "Exchange" not in (plan := df._jdf.queryExecution().executedPlan().toString())[: plan.index("Generate")] and "Generate" in plan
+
+
+def test_parents_and_same_names_are_made_once(spark, sf, monkeypatch):
+    monkeypatch.setattr(candidates, "same_name", None)
+    df = QUERIES["rk08_heuristic_score"](spark, sf)
+    assert {220.0, 200.0, 20.0} >= {r.score for r in df.select("score").distinct().collect()} and df.count() == df.select("user_id", "repo_id").distinct().count()
