@@ -65,3 +65,7 @@ def test_parents_and_same_names_are_made_once(spark, sf, monkeypatch):
     monkeypatch.setattr(candidates, "same_name", None)
     df = QUERIES["rk08_heuristic_score"](spark, sf)
     assert {220.0, 200.0, 20.0} >= {r.score for r in df.select("score").distinct().collect()} and df.count() == df.select("user_id", "repo_id").distinct().count()
+
+
+def test_rk04_default_ranker_without_whole_lists(spark, sf, never_whole):
+    assert QUERIES["rk04_default_ranker"](spark, sf).count()
