@@ -69,3 +69,7 @@ def test_parents_and_same_names_are_made_once(spark, sf, monkeypatch):
 
 def test_rk04_default_ranker_without_whole_lists(spark, sf, never_whole):
     assert QUERIES["rk04_default_ranker"](spark, sf).count()
+
+
+def test_eval03_source_stats_without_whole_lists(spark, sf, never_whole):
+    assert QUERIES["eval03_source_stats"](spark, sf).count()
