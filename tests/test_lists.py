@@ -73,3 +73,7 @@ def test_rk04_default_ranker_without_whole_lists(spark, sf, never_whole):
 
 def test_eval03_source_stats_without_whole_lists(spark, sf, never_whole):
     assert QUERIES["eval03_source_stats"](spark, sf).count()
+
+
+def test_eval07_possible_only_without_whole_lists(spark, sf, never_whole):
+    assert QUERIES["eval07_possible_only"](spark, sf).count()
