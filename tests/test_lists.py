@@ -77,3 +77,7 @@ def test_eval03_source_stats_without_whole_lists(spark, sf, never_whole):
 
 def test_eval07_possible_only_without_whole_lists(spark, sf, never_whole):
     assert QUERIES["eval07_possible_only"](spark, sf).count()
+
+
+def test_rk01_merge_without_whole_lists(spark, sf, never_whole):
+    assert QUERIES["rk01_merge"](spark, sf).count()
