@@ -81,3 +81,7 @@ def test_eval07_possible_only_without_whole_lists(spark, sf, never_whole):
 
 def test_rk01_merge_without_whole_lists(spark, sf, never_whole):
     assert QUERIES["rk01_merge"](spark, sf).count()
+
+
+def test_rk05_classifier_ranker_without_whole_lists(spark, sf, never_whole):
+    assert QUERIES["rk05_classifier_ranker"](spark, sf).count()
