@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import candidates
+from orrery.operators import candidates, graph
 from orrery.plans.dataset import WatchDataset
 from orrery.plans.queries import ORACLES, QUERIES
 
@@ -85,3 +85,30 @@ def test_rk01_merge_without_whole_lists(spark, sf, never_whole):
 
 def test_rk05_classifier_ranker_without_whole_lists(spark, sf, never_whole):
     assert QUERIES["rk05_classifier_ranker"](spark, sf).count()
+
+
+@pytest.fixture
+def no_pairs(monkeypatch):
+    def pairs(*_):
+        raise AssertionError("the table of pairs of repos was asked for")
+
+    monkeypatch.setattr(graph, "cooccurrence", pairs)
+
+
+def test_met_coocs(spark):
+    """As coocs and coocs2, with users on both sides of both bounds, repos of one watcher, and repos without name or author."""
+    texts = lambda k, n: F.when(F.col("id") % 50 != 0, F.concat(F.lit(k), (F.col("id") % n).cast("string")))
+    repos = spark.range(1, 121).select(F.col("id").alias("repo_id"), texts("n", 40).alias("name"), texts("a", 90).alias("author_name"), F.lit(1).alias("created_day"), F.lit(None).cast("long").alias("parent_id"))
+    sizes = [1, 2, 3, 5, 19, 20, 21, 22, 49, 50, 51, 60]
+    watches = spark.createDataFrame([(u, 1 + (u * 13 + k * 7) % 125) for u, n in enumerate(sizes) for k in range(n)], "user_id long, repo_id long")
+    empty = spark.range(0)
+    for users in (watches, watches.where("user_id in (1, 3, 7, 11)")):
+        c = candidates.Context(WatchDataset(watches, repos, *[empty] * 7), users.select("user_id").distinct())
+        for name in ("coocs", "coocs2"):
+            counts = {r.repo_id: r["count"] for r in watches.groupBy("repo_id").count().collect()}
+            want = sorted((r.user_id, r.repo_id, counts[r.repo_id]) for r in candidates.source(name)(c).collect())
+            assert want and sorted(map(tuple, candidates.with_watchers(name, c).select("user_id", "repo_id", "n_watchers").collect())) == want
+
+
+def test_rk04_default_ranker_without_a_table_of_pairs(spark, sf, no_pairs):
+    assert QUERIES["rk04_default_ranker"](spark, sf).count()
