@@ -112,3 +112,7 @@ def test_met_coocs(spark):
 
 def test_rk04_default_ranker_without_a_table_of_pairs(spark, sf, no_pairs):
     assert QUERIES["rk04_default_ranker"](spark, sf).count()
+
+
+def test_eval03_source_stats_without_a_table_of_pairs(spark, sf, no_pairs):
+    assert QUERIES["eval03_source_stats"](spark, sf).count()
