@@ -116,3 +116,7 @@ def test_rk04_default_ranker_without_a_table_of_pairs(spark, sf, no_pairs):
 
 def test_eval03_source_stats_without_a_table_of_pairs(spark, sf, no_pairs):
     assert QUERIES["eval03_source_stats"](spark, sf).count()
+
+
+def test_eval07_possible_only_without_a_table_of_pairs(spark, sf, no_pairs):
+    assert QUERIES["eval07_possible_only"](spark, sf).count()
