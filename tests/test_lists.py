@@ -120,3 +120,7 @@ def test_eval03_source_stats_without_a_table_of_pairs(spark, sf, no_pairs):
 
 def test_eval07_possible_only_without_a_table_of_pairs(spark, sf, no_pairs):
     assert QUERIES["eval07_possible_only"](spark, sf).count()
+
+
+def test_rk01_merge_without_a_table_of_pairs(spark, sf, no_pairs):
+    assert QUERIES["rk01_merge"](spark, sf).count()
