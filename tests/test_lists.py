@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import candidates, graph
+from orrery.operators import candidates, evaluation, graph
 from orrery.plans.dataset import WatchDataset
 from orrery.plans.queries import ORACLES, QUERIES
 
@@ -124,3 +124,17 @@ def test_eval07_possible_only_without_a_table_of_pairs(spark, sf, no_pairs):
 
 def test_rk01_merge_without_a_table_of_pairs(spark, sf, no_pairs):
     assert QUERIES["rk01_merge"](spark, sf).count()
+
+
+def test_rk05_classifier_ranker_without_a_table_of_pairs(spark, sf, no_pairs):
+    assert QUERIES["rk05_classifier_ranker"](spark, sf).count()
+
+
+def test_marked_as_training_rows(spark):
+    """The same rows, labels and weights, with answers that are watched, aren't candidates, or are missing."""
+    pairs = spark.createDataFrame([(u, r, float(r)) for u in range(1, 9) for r in range(1, 80) if (r * u) % 3 or u == 8], "user_id long, repo_id long, score double")
+    watched = spark.createDataFrame([(u, r) for u in range(1, 8) for r in range(1, 80, 8 - u)], "user_id long, repo_id long")
+    answers = spark.createDataFrame([(1, 1), (2, 9), (3, 2), (4, 1000), (5, 3), (8, 5)], "user_id long, answer long")
+    want = evaluation.training_rows(pairs, watched, answers, include_all_correct=True).join(pairs, ["user_id", "repo_id"]).select("user_id", "repo_id", "label", "weight", "score")
+    got = evaluation.marked(pairs, watched, answers).select("user_id", "repo_id", F.inline("marks"), "score")
+    assert want.count() and sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
