@@ -1,10 +1,11 @@
 """Lists of sources that are never made whole, pairs that go through no shuffle, and sums at a half of the last digit."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import candidates, evaluation, graph
+from orrery.operators import candidates, evaluation, graph, ml
 from orrery.plans.dataset import WatchDataset
 from orrery.plans.queries import ORACLES, QUERIES
 
@@ -138,3 +139,17 @@ def test_marked_as_training_rows(spark):
     want = evaluation.training_rows(pairs, watched, answers, include_all_correct=True).join(pairs, ["user_id", "repo_id"]).select("user_id", "repo_id", "label", "weight", "score")
     got = evaluation.marked(pairs, watched, answers).select("user_id", "repo_id", F.inline("marks"), "score")
     assert want.count() and sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_factors_go_in_slices(spark, monkeypatch):
+    """The same factors when no more than one column or row of them goes to the tasks or comes back at once."""
+    rows = spark.createDataFrame([(r, c, float((r * c + r) % 7)) for r in range(30) for c in range(20) if (r + c) % 3], "row long, col long, value double")
+    _, want, _ = ml.svd(rows, k=4)
+    monkeypatch.setattr(ml, "SLICE_BYTES", 8)
+    left, s, right = ml.svd(rows, k=4)
+    assert np.allclose(s, want, rtol=1e-9) and left.count() == 30 and right.count() == 20
+    u, v = (np.array([x.v for x in f.orderBy(f.columns[0]).collect()]) for f in (left, right))
+    m = np.zeros((30, 20))
+    for r in rows.collect():
+        m[r.row, r.col] = r.value
+    assert np.allclose(m @ v, u * s, atol=1e-6)
