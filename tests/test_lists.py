@@ -153,3 +153,20 @@ def test_factors_go_in_slices(spark, monkeypatch):
     for r in rows.collect():
         m[r.row, r.col] = r.value
     assert np.allclose(m @ v, u * s, atol=1e-6)
+
+
+def test_clusters_are_cut_before_vectors_are_compared(spark, sf, monkeypatch):
+    """The first of each user by watchers, then id, with the same features as in its whole list; no vectors of others are compared."""
+    c = candidates.Context(d := WatchDataset.from_tables(spark, "/root/testdata/sf0.01"), d.test_users)
+    whole = {}
+    for r in candidates.in_cluster_repo(c).collect():
+        whole.setdefault(r.user_id, []).append(tuple(r))
+    monkeypatch.setattr(candidates, "MOST_CLUSTERED", 7)
+    df = candidates.in_cluster_repo(c)
+    at = {x: i for i, x in enumerate(df.columns)}
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.user_id, []).append(tuple(r))
+    order = lambda x: (-x[at["n_cluster_watchers"]], x[at["repo_id"]])
+    assert any(len(x) > 7 for x in whole.values()) and {u: sorted(x, key=order) for u, x in got.items()} == {u: sorted(x, key=order)[:7] for u, x in whole.items()}
+    assert "last_watchers" in df._jdf.queryExecution().optimizedPlan().toString()
