@@ -131,6 +131,13 @@ def test_rk05_classifier_ranker_without_a_table_of_pairs(spark, sf, no_pairs):
     assert QUERIES["rk05_classifier_ranker"](spark, sf).count()
 
 
+@pytest.mark.parametrize("name", ["eval03_source_stats"])
+def test_lists_send_no_growing_table(spark, sf, name):
+    """Only the most watched repos, a list of a fixed length, are broadcast, however small Spark takes the tables for."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_marked_as_training_rows(spark):
     """The same rows, labels and weights, with answers that are watched, aren't candidates, or are missing."""
     pairs = spark.createDataFrame([(u, r, float(r)) for u in range(1, 9) for r in range(1, 80) if (r * u) % 3 or u == 8], "user_id long, repo_id long, score double")
