@@ -131,7 +131,7 @@ def test_rk05_classifier_ranker_without_a_table_of_pairs(spark, sf, no_pairs):
     assert QUERIES["rk05_classifier_ranker"](spark, sf).count()
 
 
-@pytest.mark.parametrize("name", ["eval03_source_stats"])
+@pytest.mark.parametrize("name", ["eval03_source_stats", "rk01_merge"])
 def test_lists_send_no_growing_table(spark, sf, name):
     """Only the most watched repos, a list of a fixed length, are broadcast, however small Spark takes the tables for."""
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
