@@ -177,3 +177,30 @@ def test_clusters_are_cut_before_vectors_are_compared(spark, sf, monkeypatch):
     order = lambda x: (-x[at["n_cluster_watchers"]], x[at["repo_id"]])
     assert any(len(x) > 7 for x in whole.values()) and {u: sorted(x, key=order) for u, x in got.items()} == {u: sorted(x, key=order)[:7] for u, x in whole.items()}
     assert "last_watchers" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_users_of_a_cluster_are_cut_before_vectors_are_compared(spark, monkeypatch):
+    """The first of each user by members that watch, then id, with the same features as in its whole list, over several chunks of the list."""
+    v = spark.range(1, 41).select(F.col("id").alias("user_id"), (F.col("id") % 3).alias("cluster_id"), F.array(F.sin("id"), F.cos(F.col("id") * 2), F.lit(0.5)).alias("embedding"))
+    repos = spark.range(1, 91).select(F.col("id").alias("repo_id"), F.concat(F.lit("n"), (F.col("id") % 30).cast("string")).alias("name"), F.concat(F.lit("a"), (F.col("id") % 45).cast("string")).alias("author_name"), F.lit(1).alias("created_day"), F.lit(None).cast("long").alias("parent_id"))
+    watches = spark.createDataFrame([(u, r) for u in range(1, 41) for r in range(1, 91) if (r * r + u * r + u) % 13 == 0], "user_id long, repo_id long")
+    c = candidates.Context(WatchDataset(watches, repos, *[spark.range(0)] * 7), watches.select("user_id").where("user_id % 2 = 0").distinct(), v)
+    monkeypatch.setattr(candidates, "ID_BUCKET", 4)
+    whole, vectors, seen = {}, {r.user_id: np.array(r.embedding) for r in v.collect()}, {}
+    for r in watches.collect():
+        seen.setdefault(r.user_id, set()).add(r.repo_id)
+    for u in [u for u in seen if u % 2 == 0]:
+        for r in range(1, 91):
+            mates = [m for m in seen if m != u and m % 3 == u % 3 and r in seen[m]]
+            if mates and not any(r % 30 == x % 30 or r % 45 == x % 45 for x in seen[u]):
+                dots = [vectors[u] @ vectors[m] for m in mates]
+                cosines = [d / np.linalg.norm(vectors[u]) / np.linalg.norm(vectors[m]) for d, m in zip(dots, mates)]
+                whole.setdefault(u, []).append((-len(mates), r, sum(1 / len(seen[m]) for m in mates), max(dots), max(cosines)))
+    for most in (6, 2000):
+        monkeypatch.setattr(candidates, "MOST_CLUSTERED", most)
+        got = {}
+        df = candidates.in_cluster_user(c)
+        for r in df.collect():
+            got.setdefault(r.user_id, []).append((-r.num_watched, r.repo_id, r.weighted, r.max_dot, r.max_cosine))
+        assert got.keys() == whole.keys() and all(np.allclose(sorted(got[u]), sorted(whole[u])[:most]) for u in whole)
+    assert any(len(x) > 6 for x in whole.values()) and "last_k" in df._jdf.queryExecution().optimizedPlan().toString()
