@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import candidates, evaluation, graph, ml
+from orrery.operators import candidates, evaluation, graph, keywords, ml
 from orrery.plans.dataset import WatchDataset
 from orrery.plans.queries import ORACLES, QUERIES
 
@@ -204,3 +204,18 @@ def test_users_of_a_cluster_are_cut_before_vectors_are_compared(spark, monkeypat
             got.setdefault(r.user_id, []).append((-r.num_watched, r.repo_id, r.weighted, r.max_dot, r.max_cosine))
         assert got.keys() == whole.keys() and all(np.allclose(sorted(got[u]), sorted(whole[u])[:most]) for u in whole)
     assert any(len(x) > 6 for x in whole.values()) and "last_k" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_keywords_stay_with_their_repo(spark, monkeypatch):
+    """Rare camel case split, frequent kept, equal texts counted once; the same whether the vocabulary is sent or joined; only texts and rare words are dealt, by repo."""
+    texts = [(r, "GitHub myTool%d _x_ Plain" % r) for r in range(60)] + [(1, "Été AaBb aabb, (AaBb)"), (2, "rareWords RareWords"), (2, "rareWords RareWords"), (3, None), (4, ".. --"), (5, "RareWords a")]
+    df = spark.createDataFrame(texts, "repo_id long, text string")
+    tf = keywords.tokens(df)
+    got = {(r.repo_id, r.token): r.tf for r in tf.collect()}
+    assert got[7, "github"] == 0.25 and (7, "mytool7") in got and got[1, "bb"] == 1 / 3 and (1, "aabb") in got and got[2, "rare"] == got[2, "rarewords"] == got[5, "a"] == 1 / 3 and (5, "rarewords") not in got
+    sent = keywords.tf_idf(tf, 60)
+    plan = sent._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(repo_id") == 2 and "hashpartitioning(token" not in plan
+    monkeypatch.setattr(keywords, "SENT_TOKENS", 0)
+    joined = keywords.tf_idf(tf, 60)
+    assert sorted(map(tuple, sent.collect())) and np.allclose([x[2:] for x in sorted(map(tuple, sent.collect()))], [x[2:] for x in sorted(map(tuple, joined.collect()))])
