@@ -219,3 +219,17 @@ def test_keywords_stay_with_their_repo(spark, monkeypatch):
     monkeypatch.setattr(keywords, "SENT_TOKENS", 0)
     joined = keywords.tf_idf(tf, 60)
     assert sorted(map(tuple, sent.collect())) and np.allclose([x[2:] for x in sorted(map(tuple, sent.collect()))], [x[2:] for x in sorted(map(tuple, joined.collect()))])
+
+
+def test_a_column_at_once_is_no_join(spark, monkeypatch):
+    """Factors beyond the bound of which a column fits are multiplied in the parts of the matrix, with values as with ones."""
+    monkeypatch.setattr(ml, "_svd_joined", None)
+    monkeypatch.setattr(ml, "SUM_ENTRIES", 4)
+    for of in (lambda r, c: 1.0, lambda r, c: float((r * c + r) % 7 - 2)):
+        m = np.array([[of(r, c) * ((r * 3 + c * c) % 5 > 1) for c in range(18)] for r in range(25)])
+        rows = spark.createDataFrame([(int(r) * 5 - 9, int(c) + 2**40, float(m[r, c])) for r, c in zip(*np.nonzero(m))], "row long, col long, value double")
+        left, s, right = ml.svd(rows, k=3, settled=1e-12, broadcast_bytes=8 * 25)
+        u, v = (np.array([x.v for x in f.orderBy(f.columns[0]).collect()]) for f in (left, right))
+        best = np.linalg.svd(m)
+        assert np.allclose(s, best[1][:3], rtol=1e-6) and np.allclose(m @ v, u * s, atol=1e-6) and np.allclose(v.T @ v, np.eye(3), atol=1e-9)
+    assert ml.svd(rows, k=3, broadcast_bytes=8 * 18, left=False)[0] is None
