@@ -233,3 +233,37 @@ def test_a_column_at_once_is_no_join(spark, monkeypatch):
         best = np.linalg.svd(m)
         assert np.allclose(s, best[1][:3], rtol=1e-6) and np.allclose(m @ v, u * s, atol=1e-6) and np.allclose(v.T @ v, np.eye(3), atol=1e-9)
     assert ml.svd(rows, k=3, broadcast_bytes=8 * 18, left=False)[0] is None
+
+
+def _small(spark, n_users=240, n_repos=96):
+    """A graph with repos without name or author, parents, and users who watch many of a group."""
+    texts = lambda k, n: F.when(F.col("id") % 31 != 0, F.concat(F.lit(k), (F.col("id") % n).cast("string")))
+    parent = F.when(F.col("id") % 3 == 0, F.floor(F.col("id") / 3) + F.col("id") % 2)
+    repos = spark.range(1, n_repos + 1).select(F.col("id").alias("repo_id"), texts("n", 4).alias("name"), texts("a", 24).alias("author_name"), F.lit(1).alias("created_day"), parent.cast("long").alias("parent_id"))
+    watches = spark.createDataFrame([(u, r) for u in range(1, n_users + 1) for r in range(1, n_repos + 1) if (r * r + u * r + u) % 53 < (12 if u % 40 == 0 else 2)], "user_id long, repo_id long")
+    return candidates.Context(WatchDataset(watches, repos, *[spark.range(0)] * 7), watches.select("user_id").where("user_id % 8 < 7").distinct())
+
+
+def _graph(c):
+    repos, seen = {r.repo_id: r for r in c.data.repos.collect()}, {}
+    for r in c.data.watches.collect():
+        seen.setdefault(r.user_id, set()).add(r.repo_id)
+    return repos, {r.user_id: seen[r.user_id] for r in c.users.collect()}
+
+
+def _beside(rows):
+    """The share of rows whose repo is that of the row before."""
+    return sum(a.repo_id == b.repo_id for a, b in zip(rows, rows[1:])) / len(rows)
+
+
+def test_users_meet_repos_one_after_the_other(spark):
+    """As by brute force, with repos without name or author; users follow each other for a repo, so files are small; no generated code holds all pairs of a list."""
+    c = _small(spark)
+    repos, seen = _graph(c)
+    names, authors = ({u: {repos[r][k] for r in x} for u, x in seen.items()} for k in ("name", "author_name"))
+    want = {(u, r) for u in seen for r in repos if (repos[r].name is None or repos[r].name not in names[u]) and repos[r].author_name not in authors[u]}
+    df = candidates.unlike_repos(c, c.codes)
+    got = df.collect()
+    assert {(r.user_id, r.repo_id) for r in got} == want and len(got) == len(want) and _beside(got) > 0.5
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan and ") BroadcastNestedLoopJoin" not in plan
