@@ -267,3 +267,20 @@ def test_users_meet_repos_one_after_the_other(spark):
     assert {(r.user_id, r.repo_id) for r in got} == want and len(got) == len(want) and _beside(got) > 0.5
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan and ") BroadcastNestedLoopJoin" not in plan
+
+
+def test_same_names_and_parents_beside_each_other(spark, monkeypatch):
+    """As by brute force, with lists of users and chunks of repos cut; users follow each other for a repo; no generated code holds all pairs of a chunk."""
+    monkeypatch.setattr(candidates, "ALIKE_SHARES", 2)
+    c = _small(spark)
+    repos, seen = _graph(c)
+    named = {(u, r): 20 for u, x in seen.items() for r in repos if repos[r].name is not None and r not in x and any(repos[r].name == repos[w].name for w in x)}
+    parent = {(u, repos[w].parent_id): 200 for u, x in seen.items() for w in x if repos[w].parent_id is not None}
+    want = {k: named.get(k, 0) + parent.get(k, 0) for k in {*named, *parent}}
+    for ids in (1024, 8):
+        monkeypatch.setattr(candidates, "ID_BUCKET", ids)
+        df = candidates.parents_or_same_name(c)
+        got = df.collect()
+        assert {(r.user_id, r.repo_id): 200 * r.is_parent + 20 * r.is_named for r in got} == want and len(got) == len(want) and _beside(got) > 0.5
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate inline(filter(" in plan and ") Generate inline(filter(" not in plan
