@@ -284,3 +284,23 @@ def test_same_names_and_parents_beside_each_other(spark, monkeypatch):
         assert {(r.user_id, r.repo_id): 200 * r.is_parent + 20 * r.is_named for r in got} == want and len(got) == len(want) and _beside(got) > 0.5
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Generate inline(filter(" in plan and ") Generate inline(filter(" not in plan
+
+
+def test_shares_of_alike_repos_are_rounded_once(spark):
+    """Shares rounded where they are made are those of the whole rows, for users who watch few and many of a group; users follow each other for a repo."""
+    c = _small(spark)
+    shares = ["watched_share", "watcher_share", "abs_pct", "unwatched_pct"]
+    for key in ("name", "author_name"):
+        got = candidates._alike(c, key, 3).collect()
+        assert _beside(got) > (0.5 if key == "name" else 0.1)
+        whole = candidates._alike(c, key).withColumns({k: F.round(k, 3) for k in shares}).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
+        repos, seen = _graph(c)
+        counts = {r.repo_id: r["count"] for r in c.data.watches.groupBy("repo_id").count().collect()}
+        assert {(r.user_id, r.repo_id) for r in got} == {(u, r) for u, x in seen.items() for r in repos if repos[r][key] is not None and r not in x and any(repos[w][key] == repos[r][key] for w in x)}
+        for r in got[::97]:
+            group = [k for k in repos if repos[k][key] == repos[r.repo_id][key]]
+            left = [k for k in group if k not in seen[r.user_id]]
+            above = sum(counts.get(k, 0) > counts.get(r.repo_id, 0) for k in left)
+            assert (r.n_repos, r.n_watched, r.unwatched_rank) == (len(group), len(group) - len(left), above) and abs(r.unwatched_pct - above / len(left)) <= 0.0005001
+    assert {r.n_watched > candidates.FEW_WATCHED for r in candidates.same_name(c).collect()} == {True, False}
