@@ -304,3 +304,14 @@ def test_shares_of_alike_repos_are_rounded_once(spark):
             above = sum(counts.get(k, 0) > counts.get(r.repo_id, 0) for k in left)
             assert (r.n_repos, r.n_watched, r.unwatched_rank) == (len(group), len(group) - len(left), above) and abs(r.unwatched_pct - above / len(left)) <= 0.0005001
     assert {r.n_watched > candidates.FEW_WATCHED for r in candidates.same_name(c).collect()} == {True, False}
+
+
+def test_cluster_mates_are_compared_in_blocks(spark, monkeypatch):
+    """Products of vectors are made for lists of users and chunks of whole repos at once: no function of higher order goes through them, and no exchange stands above."""
+    v = spark.createDataFrame([(u, u % 2, [float(u % 5), 1.0, float(u % 3) - 1]) for u in range(1, 31)], "user_id long, cluster_id int, embedding array<double>")
+    repos = spark.range(1, 61).select(F.col("id").alias("repo_id"), F.col("id").cast("string").alias("name"), F.col("id").cast("string").alias("author_name"), F.lit(1).alias("created_day"), F.lit(None).cast("long").alias("parent_id"))
+    watches = spark.createDataFrame([(u, r) for u in range(1, 31) for r in range(1, 61) if (u * r + r) % 7 == 0], "user_id long, repo_id long")
+    c = candidates.Context(WatchDataset(watches, repos, *[spark.range(0)] * 7), watches.select("user_id").distinct(), v)
+    plan = candidates.in_cluster_user(c)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "MapInArrow" in above and "Exchange" not in above and "zip_with" not in above and "aggregate(" not in above
